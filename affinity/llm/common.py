@@ -35,6 +35,22 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+def filter_arrow(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], list[bool]], rows: int = 512) -> DataFrame:
+    """The rows of ``df``, whole, for which ``fn`` of the named columns says True.
+
+    ``fn`` gets a batch of these columns under their names here; names match as Spark matches them.
+    """
+    at = [next(i for i, name in enumerate(df.columns) if name.lower() == c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, rows):
+                part = batch.slice(begin, rows)
+                yield part.filter(pa.array(fn(pa.RecordBatch.from_arrays([part.column(i) for i in at], names=columns)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def raw(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column as its UTF-8 bytes."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()
@@ -73,7 +89,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     longest path. Hot hubs are plain equi-joins of two shuffled sides, which adaptive
     execution splits. Every round ends at a checkpoint. Self-links only name a node.
     """
-    spark = edges.sparkSession
+    edges = cut(edges.select("a", "b"))
     nodes = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     state = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None

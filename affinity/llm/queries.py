@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, html_text, licenses, lm, packing, simhash, toxicity
+from . import chat, decontamination, embeddings, html_text, licenses, lm, packing, simhash, toxicity
 from .common import held_out
 
 
@@ -57,6 +57,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm.score_documents(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7))
     return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_licenses": op5_licenses,
     "op6_chat": op6_chat,
     "op7_packing": op7_packing,
+    "op8_decontamination": op8_decontamination,
     "op10_lm": op10_lm,
 }
 

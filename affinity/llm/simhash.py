@@ -179,6 +179,7 @@ def keep_one(docs: DataFrame, bits: int = 2, shingle: int = 3) -> DataFrame:
 
     Rows that repeat a doc_id stand for one document: one of them stays.
     """
-    kept = near_duplicates(docs, bits, shingle).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs, bits, shingle).where("doc_id <=> component_id").select("doc_id").distinct()
+    # one key for both steps, null included, so that documents are dealt out once
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+    return docs.select("*", key).join(kept.select(key), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
