@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, html_text, licenses, lm, packing, simhash, toxicity
+from . import chat, decontamination, embeddings, html_text, licenses, lm, packing, quality, simhash, toxicity
 from .common import held_out
 
 
@@ -61,6 +61,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm.score_documents(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7))
     return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat": op6_chat,
     "op7_packing": op7_packing,
     "op8_decontamination": op8_decontamination,
+    "op9_quality": op9_quality,
     "op10_lm": op10_lm,
 }
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, raw
+from .common import filter_arrow, map_arrow, raw
 
 #: Documents at most that the model is fitted on.
 LABELLED = 20_000
@@ -256,3 +256,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_arrow(picked, run, "doc_id long, score double, predicted int, n_passages long, first_word long, last_word long")
+
+
+def keep_civil(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, all columns kept."""
+    return filter_arrow(docs, ["text"], lambda batch: [model.probability(model.evidence(words_of(x))) < threshold for x in raw(batch, "text")])
