@@ -31,31 +31,33 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, raw
 
-#: Keeps bigram hashes to 48 bits: six bytes an entry.
-MASK = np.uint64((1 << 48) - 1)
+#: Bytes of a bigram's key within its bucket: a bucket's few million bigrams share 2^40 keys.
+KEY = 5
+MASK = np.uint64((1 << 8 * KEY) - 1)
 END = b""
 
 
 def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A 48-bit key of a pair of 64-bit word hashes; only the order of the pair matters."""
+    """A 64-bit hash of a pair of 64-bit word hashes, told from the pair in reverse."""
     x = left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))) & MASK
+    return x ^ (x >> np.uint64(31))
 
 
 def pack(keys: np.ndarray) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY].tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(data) // KEY, 8), np.uint8)
+    out[:, :KEY] = np.frombuffer(data, np.uint8).reshape(-1, KEY)
     return out.view("<u8").reshape(-1)
 
 
@@ -100,7 +102,8 @@ class Block:
         self.before = before
         unique, self.pair_of = np.unique(pair, return_inverse=True)
         keys = mixed(hashes[unique // len(self.words)], hashes[unique % len(self.words)])
-        pair_bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        pair_bucket = ((keys >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        keys &= MASK
         self.pair_order = np.lexsort((keys, pair_bucket))
         self.pair_bucket, self.keys = pair_bucket[self.pair_order], keys[self.pair_order]
 
@@ -112,14 +115,41 @@ class Block:
         return words, pairs
 
 
-def texts_of(table: pa.Table) -> list[bytes]:
-    return table.column("text").cast(pa.large_binary()).to_pylist()
+def packed(docs: DataFrame, blocks: int) -> DataFrame:
+    """Documents on their way to their blocks: a task's texts of a block as one compressed row."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            own: dict[int, list[int]] = {}
+            for i, b in enumerate(batch.column(2).to_pylist()):
+                own.setdefault(b, []).append(i)
+            ids, trained, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch, "text")
+            rows = [(b, [ids[i] for i in at], [trained[i] for i in at], [len(texts[i]) for i in at], squeeze(b"".join(texts[i] for i in at))) for b, at in own.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), PACKED.types)], schema=PACKED)
+
+    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")
+    return docs.select("doc_id", "trained", block.alias("block"), "text").mapInArrow(run, "block int, doc_ids array<long>, trained array<boolean>, sizes array<int>, texts binary")
+
+
+def unpacked(table: pa.Table) -> tuple[list, np.ndarray, list[bytes]]:
+    """Ids, training marks and texts of a block's rows."""
+    ids, trained, texts = [], [], []
+    for r in table.to_pylist():
+        ids += r["doc_ids"]
+        trained += r["trained"]
+        data = zstandard.decompress(r["texts"])
+        ends = np.cumsum(r["sizes"]).tolist()
+        texts += [data[e - n : e] for e, n in zip(ends, r["sizes"])]
+    return ids, np.array(trained, bool), texts
 
 
 def list_block(table: pa.Table, buckets: int) -> pa.Table:
     """One row per bucket that the block has entries in."""
-    block = Block(texts_of(table), buckets)
-    words, pairs = block.counts(table.column("trained").to_numpy(zero_copy_only=False).astype(bool))
+    _, trained, texts = unpacked(table)
+    block = Block(texts, buckets)
+    words, pairs = block.counts(trained)
     rows = []
     for b in np.union1d(block.word_bucket, block.pair_bucket):
         w = slice(*np.searchsorted(block.word_bucket, [b, b + 1]))
@@ -147,6 +177,7 @@ def add_bucket(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), ADDED.types)], schema=ADDED)
 
 
+PACKED = pa.schema([("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("trained", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())])
 LISTED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("words", pa.binary()), ("n", pa.int32()), ("counts", pa.binary()), ("keys", pa.binary()), ("pair_counts", pa.binary())])
 ADDED = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("n", pa.int32()), ("pair_counts", pa.binary()), ("pairs", pa.int32()), ("n_tokens", pa.int64()), ("n_types", pa.int64()), ("n_once", pa.int64())])
 SCORED = "doc_id long, trained boolean, n_tokens long, n_known long, base_score double, score double"
@@ -172,7 +203,8 @@ class Weights:
 
 
 def score_block(docs: pa.Table, added: pa.Table, buckets: int, weights: Weights) -> pa.Table:
-    block = Block(texts_of(docs), buckets)
+    ids, trained, texts = unpacked(docs)
+    block = Block(texts, buckets)
     word_count, pair_count = np.zeros(len(block.words), np.int64), np.zeros(len(block.pair_order), np.int64)
     for r in added.select(["bucket", "counts", "n", "pair_counts", "pairs"]).to_pylist():
         w = slice(*np.searchsorted(block.word_bucket, [r["bucket"], r["bucket"] + 1]))
@@ -185,10 +217,10 @@ def score_block(docs: pa.Table, added: pa.Table, buckets: int, weights: Weights)
     score = weights.arc(pair_count[block.pair_of], word_count[block.before], unigram[block.tokens])
     at = np.concatenate([[0], np.cumsum(block.sizes)[:-1]]).astype(np.int64)
     add = lambda x: np.add.reduceat(x, at)
-    return pa.table({"doc_id": docs.column("doc_id"), "trained": docs.column("trained"), "n_tokens": pa.array(block.sizes), "n_known": pa.array(add(known[block.tokens].astype(np.int64))), "base_score": pa.array(add(base)), "score": pa.array(add(score))})
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "trained": pa.array(trained), "n_tokens": pa.array(block.sizes), "n_known": pa.array(add(known[block.tokens].astype(np.int64))), "base_score": pa.array(add(base)), "score": pa.array(add(score))})
 
 
-def score_documents(docs: DataFrame, trained, block_bytes: int = 12 << 20, mu: float = 200.0) -> DataFrame:
+def score_documents(docs: DataFrame, trained, block_bytes: int = 5 << 20, mu: float = 200.0) -> DataFrame:
     """Score every row of ``docs(doc_id, text)`` by a model of the rows where ``trained`` holds.
 
     Returns ``doc_id, trained, n_tokens, n_known, train_tokens, base_score, score``.
@@ -198,7 +230,7 @@ def score_documents(docs: DataFrame, trained, block_bytes: int = 12 << 20, mu: f
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(trained, F.lit(False)).alias("trained"))
-    dealt = dealt.select("*", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int").alias("block"))
+    dealt = packed(dealt, blocks)
     listed = dealt.groupBy("block").applyInArrow(lambda t: list_block(t, blocks), "bucket int, block int, words binary, n int, counts binary, keys binary, pair_counts binary")
     added = cut(listed.groupBy("bucket").applyInArrow(add_bucket, "block int, bucket int, counts binary, n int, pair_counts binary, pairs int, n_tokens long, n_types long, n_once long"))
     tokens, types, once = (x or 0 for x in added.agg(F.sum("n_tokens"), F.sum("n_types"), F.sum("n_once")).first())
