@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .config import EngineConfig, SamplerConfig
 from .functions.columns import stable_hash_hex
 from .operators import metrics, pairs, postings, ranking, sampler
+from .operators.lineage import cut
 from .plans import pipelines
 from .sources import readers, writers
 
@@ -100,7 +101,7 @@ def selection(s: SparkSession, d: str) -> sampler.Selection:
 
 
 def classed(s: SparkSession, d: str) -> DataFrame:
-    stats = sampler.user_stats(events5(s, d))
+    stats = cut(sampler.user_stats(events5(s, d)))
     return stats.select("user_id", sampler.user_class(sampler.thresholds(stats)).alias("kind"))
 
 
@@ -132,7 +133,7 @@ def topk_text(s: SparkSession, d: str) -> DataFrame:
 
 
 def percentiles(s: SparkSession, d: str) -> DataFrame:
-    return s.createDataFrame(sorted(sampler.thresholds(sampler.user_stats(events5(s, d))).items()), "name string, value long")
+    return s.createDataFrame(sorted(sampler.thresholds(cut(sampler.user_stats(events5(s, d)))).items()), "name string, value long")
 
 
 def hash_order(s: SparkSession, d: str) -> DataFrame:
