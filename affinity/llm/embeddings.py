@@ -5,12 +5,20 @@ directions, and sorts all vectors by them. Vectors with a small angle share long
 prefixes and come to lie close; each is compared with the ``window`` vectors before it
 at least (blocks of that size against themselves and the block before), across the
 borders of partitions too. The number of passes follows from the corpus: with ``n``
-vectors a pair at the threshold falls into one window with about
+vectors that the bits halve, a pair at the threshold falls into one window with about
 ``p = (1 - angle / pi) ^ log2(n / window)``, and passes are added until a pair is missed
 by all with the probability ``miss`` at most. A block reports its links as a spanning
 forest, so that a group of copies costs rows in proportion to its size; the forests of all
 passes are united into components.
 
+Whether the bits did halve the crowd is measured: the rows ``window`` places before and
+after a vector tell how many bits a partner must share to lie between them in that pass.
+Vectors whose measured depths leave a partner more than ``miss`` of a chance to be missed
+go through further passes among themselves, and those that still do (a dense region,
+which signs barely tell apart) are compared with one another exactly. A pair is safe if
+one of its vectors is, so no others need it. The exact comparison grows with the square
+of the number of vectors left, less the pairs within one large component.
+
 Any two linked vectors are in one component, so the number of links is then counted
 exactly within components. Vectors closer to their component's mean direction than half
 the threshold's angle all link with one another: they are counted, not compared. The
@@ -37,6 +45,8 @@ from .common import connected_components, cut, map_arrow, merge_labels, shuffle_
 
 #: Rows of a comparison block when links are counted.
 COUNT_ROWS = 1024
+#: Vectors of a stripe when crowded ones are compared exactly.
+STRIPE_ROWS = 4096
 #: Keeps rounding out of the counted (not compared) core of a component.
 MARGIN = 1e-6
 
@@ -87,9 +97,17 @@ def forest(m: np.ndarray, passes: np.ndarray, own: int, threshold: float) -> tup
     return moved, labels[moved]
 
 
-def windows(nodes: DataFrame, dim: int, threshold: float, window: int, passes: int) -> DataFrame:
-    """``(a, b)`` links that span those found in all passes."""
-    planes = np.random.default_rng(20).standard_normal((passes, dim, 64))
+def shared_bits(pass_a: np.ndarray, key_a: np.ndarray, pass_b: np.ndarray, key_b: np.ndarray) -> np.ndarray:
+    """Leading bits in which keys agree, 0 to 64; -1 where the passes differ."""
+    differ = (key_a ^ key_b).view(np.uint64)
+    for shift in (1, 2, 4, 8, 16, 32):
+        differ = differ | (differ >> np.uint64(shift))
+    return np.where(pass_a == pass_b, 64 - np.bitwise_count(differ).astype(np.int32), -1).astype(np.int32)
+
+
+def windows(nodes: DataFrame, dim: int, threshold: float, window: int, passes: int, begin: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)`` links that span those found in all passes; and ``(node, pass, bits)`` shared with the rows ``window`` places away. Passes are numbered from ``begin``."""
+    planes = np.random.default_rng(20 + begin).standard_normal((passes, dim, 64))
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         node, v = batch.column(0), batch.column(1)
@@ -98,9 +116,16 @@ def windows(nodes: DataFrame, dim: int, threshold: float, window: int, passes: i
         for p in range(passes):
             bits = np.packbits(m @ planes[p] > 0, axis=1)
             key = bits.view(">u8").reshape(-1).astype(np.uint64) ^ np.uint64(1 << 63)  # unsigned order for signed longs
-            out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(m), p, np.int32)), pa.array(key.view(np.int64)), node, v], names=["pass", "key", "node", "v"]))
+            out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(m), begin + p, np.int32)), pa.array(key.view(np.int64)), node, v], names=["pass", "key", "node", "v"]))
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
+    def crowding(near: pa.RecordBatch, far: pa.RecordBatch) -> pa.RecordBatch:
+        """Of rows ``window`` places apart: what each of both shares with the other."""
+        sides = [[x.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2)] for x in (near, far)]
+        (pass_a, key_a, a), (pass_b, key_b, b) = sides
+        bits = shared_bits(pass_a, key_a, pass_b, key_b)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([a, b]), np.concatenate([pass_a, pass_b]), np.concatenate([bits, bits]))], names=["node", "pass", "bits"])
+
     def sweep(batches):
         """Blocks of ``window`` rows in order; the first and last of the partition go on to meet their neighbours'."""
         task, before, links, first = TaskContext.get().partitionId(), None, [], True
@@ -111,43 +136,113 @@ def windows(nodes: DataFrame, dim: int, threshold: float, window: int, passes: i
             both = block if before is None else pa.Table.from_batches([before, block]).combine_chunks().to_batches()[0]
             node, passed = (both.column(k).to_numpy(zero_copy_only=False) for k in (2, 0))
             i, root = forest(unit(both.column(3).to_pylist(), dim), passed, block.num_rows, threshold)
+            if before is not None:
+                yield row(*crowding(before.slice(0, block.num_rows), block).columns)
             before = block
-            return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[root]), pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.int32()), pa.nulls(len(i), pa.binary())], names=["a", "b", "border", "pass", "v"])
+            yield row(pa.array(node[i]), b=pa.array(node[root]))
 
-        def border(block: pa.RecordBatch, at: int):
+        def row(a, passed=None, bits=None, **given):
+            n, given = len(a), given | {"a": a, "pass": passed, "bits": bits}
+            return pa.RecordBatch.from_arrays([pa.nulls(n, kind) if given.get(name) is None else given[name] for name, kind in SWEPT], names=[name for name, _ in SWEPT])
+
+        def border(block: pa.RecordBatch, at: int, begin: int):
             n = block.num_rows
-            return pa.RecordBatch.from_arrays([block.column(2), pa.nulls(n, pa.int64()), pa.array(np.full(n, at, np.int32)), block.column(0), block.column(3)], names=["a", "b", "border", "pass", "v"])
+            place = pa.array(np.arange(begin, begin + n, dtype=np.int32))
+            return row(block.column(2), block.column(0), border=pa.array(np.full(n, at, np.int32)), place=place, key=block.column(1), v=block.column(3))
 
         for batch in batches:
             rest = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
             while rest.num_rows >= window:
                 block, rest = rest.slice(0, window), rest.slice(window)
                 if first:
-                    yield border(block, task)
+                    yield border(block, task, 0)
                     first = False
-                yield compare(block)
+                yield from compare(block)
         if rest is not None and rest.num_rows:
             if first:
-                yield border(rest, task)
+                yield border(rest, task, 0)
             # the last block is short: the one before it goes along, so that the window holds
             last = rest if before is None else pa.Table.from_batches([before, rest]).combine_chunks().to_batches()[0]
-            yield compare(rest)
-            yield border(last, task + 1)
+            yield from compare(rest)
+            yield border(last, task + 1, -last.num_rows)
         elif before is not None:
-            yield border(before, task + 1)
+            yield border(before, task + 1, -before.num_rows)
 
     def meet(table: pa.Table) -> pa.Table:
         node, passed = (table.column(k).to_numpy() for k in ("a", "pass"))
         i, root = forest(unit(table.column("v").to_pylist(), dim), passed, len(node), threshold)
-        return pa.table({"a": pa.array(node[i]), "b": pa.array(node[root])})
+        links = pa.table({"a": pa.array(node[i]), "b": pa.array(node[root]), "pass": pa.nulls(len(i), pa.int32()), "bits": pa.nulls(len(i), pa.int32())})
+        # the rows window places apart across the border
+        batch = table.select(["pass", "key", "a", "place"]).sort_by("place").combine_chunks().to_batches()[0]
+        place = batch.column(3).to_numpy()
+        ends, begins = batch.slice(0, int((place < 0).sum())), batch.slice(int((place < 0).sum()))
+        if ends.num_rows < window or not begins.num_rows:
+            return links
+        shared = crowding(ends.slice(ends.num_rows - window, begins.num_rows), begins.slice(0, window))
+        return pa.concat_tables([links, pa.table({"a": shared.column(0), "b": pa.nulls(shared.num_rows, pa.int64()), "pass": shared.column(1), "bits": shared.column(2)})])
 
     n = nodes.count() * passes
     parts = max(1, min(4 * shuffle_partitions(nodes.sparkSession), n // (8 * window)))
     dealt = map_arrow(nodes.select("node", "v"), keys, "pass int, key long, node long, v binary", rows=2048)
     ordered = dealt.repartitionByRange(parts, "pass", "key", "node").sortWithinPartitions("pass", "key", "node")
-    found = cut(ordered.mapInArrow(sweep, "a long, b long, border int, pass int, v binary"))
-    borders = found.where("border is not null").select("a", "pass", "v", "border").groupBy("border").applyInArrow(meet, "a long, b long")
-    return found.where("border is null").select("a", "b").union(borders).distinct()
+    found = cut(ordered.mapInArrow(sweep, "a long, b long, border int, pass int, bits int, place int, key long, v binary"))
+    met = cut(found.where("border is not null").select("a", "pass", "key", "place", "v", "border").groupBy("border").applyInArrow(meet, "a long, b long, pass int, bits int"))
+    both = found.where("border is null").select("a", "b", "pass", "bits").union(met)
+    return both.where("b is not null").select("a", "b").distinct(), both.where("bits is not null").select(F.col("a").alias("node"), "pass", "bits")
+
+
+#: Columns of the sweep: links, what rows share, and rows for the next partition to meet.
+SWEPT = [("a", pa.int64()), ("b", pa.int64()), ("border", pa.int32()), ("pass", pa.int32()), ("bits", pa.int32()), ("place", pa.int32()), ("key", pa.int64()), ("v", pa.binary())]
+
+
+def crowded(nodes: DataFrame, shared: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """``(node)`` of the vectors whose partners may be missed with more than ``miss`` after the depths measured."""
+    # a partner that shares one bit more than both rows at the window's ends lies between them;
+    # a pass that does not know both ends (or tells none apart in 64 bits) counts nothing
+    agree = 1 - math.acos(threshold) / math.pi
+    depth = shared.groupBy("node", "pass").agg(F.max("bits").alias("bits"), F.count("*").alias("ends")).where("ends = 2 and bits < 64")
+    missed = depth.groupBy("node").agg(F.sum(F.when(F.col("bits") < 0, F.lit(-1e9)).otherwise(F.log1p(-F.pow(F.lit(agree), F.col("bits") + 1)))).alias("log_missed"))
+    return nodes.select("node").join(missed.where(F.col("log_missed") <= math.log(miss)), "node", "left_anti")
+
+
+def exact_links(members: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """``(a, b)`` that span all links between different components of ``members(component, node, v)``.
+
+    Rows are dealt to stripes, large components to ones of their own, and every two stripes
+    meet in a cell, unless both are of the same component.
+    """
+    members = cut(members)
+    sizes = members.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > STRIPE_ROWS).select("component", F.col("component").alias("own"), "size")
+    total = members.count()
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("size", F.lit(total)) / STRIPE_ROWS))
+    striped = cut(members.join(sizes, "component", "left").select("component", "node", "v", "own", part.alias("part")))
+    stripes = striped.select("own", "part").distinct().orderBy("own", "part").collect()
+    pairs = [(i, j) for i, x in enumerate(stripes) for j, y in enumerate(stripes[i:], i) if x.own is None or x.own != y.own]
+    if not pairs:
+        return members.sparkSession.createDataFrame([], "a long, b long")
+    dealt = [(x.own, x.part, i * len(stripes) + j, side) for i, j in pairs for side, x in ([(0, stripes[i]), (1, stripes[j])] if i != j else [(2, stripes[i])])]
+    cells = members.sparkSession.createDataFrame(dealt, "own long, part long, cell long, side int")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, side, component = (table.column(k).to_numpy() for k in ("node", "side", "component"))
+        m = unit(table.column("v").to_pylist(), dim)
+        _, labels = np.unique(component, return_inverse=True)
+        labels = np.unique(labels, return_index=True)[1][labels]  # a component's rows share its first row's label
+        start = labels.copy()
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        theirs = np.ascontiguousarray(m[right].T)
+        for at in range(0, len(left), 256):
+            rows = left[at : at + 256]
+            i, j = np.nonzero(m[rows] @ theirs >= threshold)
+            i, j = rows[i], right[j]
+            other = start[i] != start[j]
+            labels = merge_labels(labels, i[other], j[other])
+        moved = np.flatnonzero((labels != start) & (start == np.arange(len(m))))
+        return pa.table({"a": pa.array(node[moved]), "b": pa.array(node[labels[moved]])})
+
+    to = F.broadcast(cells.withColumnsRenamed({"own": "own2", "part": "part2"}))
+    joined = striped.join(to, F.col("own").eqNullSafe(F.col("own2")) & (F.col("part") == F.col("part2")))
+    return joined.select("component", "node", "v", "cell", "side").groupBy("cell").applyInArrow(compare, "a long, b long")
 
 
 def count_links(members: DataFrame, dim: int, threshold: float) -> DataFrame:
@@ -208,8 +303,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, window: int = 2
     if not dim:
         return none
     n = nodes.count()
-    links = windows(nodes, dim, threshold, window, passes_needed(n, window, threshold, miss))
+    passes = passes_needed(n, window, threshold, miss)
+    links, shared = windows(nodes, dim, threshold, window, passes)
+    if n > window:
+        rest = cut(nodes.join(crowded(nodes, shared, threshold, miss), "node").select("node", "v"))
+        again, shared_again = windows(rest, dim, threshold, window, passes // 3 + 1, begin=passes)
+        rest = cut(rest.join(crowded(rest, shared.union(shared_again), threshold, miss), "node"))
+        links = links.union(again)
     graph = cut(connected_components(links))
+    if n > window:
+        more = cut(exact_links(rest.join(graph, "node", "left").select(F.coalesce("component", "node").alias("component"), "node", "v"), dim, threshold))
+        if not more.isEmpty():
+            graph = cut(connected_components(graph.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
     members = cut(graph.join(nodes, "node").select("component", "node", "v", "weight"))
     counts = count_links(members, dim, threshold)
     found = nodes.join(graph, "node", "left").join(counts, "node", "left").select("v", F.coalesce("component", "node").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))

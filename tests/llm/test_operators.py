@@ -152,6 +152,22 @@ def test_embeddings_equal_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_a_dense_region_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((2000, 64))
+    cone = 2.6 * rng.standard_normal(64) + rng.standard_normal((1000, 64))  # a third of the rows, few of which link
+    near = cone[:300] + 0.6 * rng.standard_normal((300, 64))  # partners just above the threshold
+    m = np.concatenate([base, cone, near])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embeddings, "STRIPE_ROWS", 500)  # several stripes
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df, window=32).collect()}
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    close = u @ u.T >= 0.95
+    labels = common.merge_labels(np.arange(len(m)), *np.nonzero(close))
+    assert 200 < (labels != np.arange(len(m))).sum() < 600
+    assert all((r.n_links, r.component_id) == (close[i].sum() - 1, labels[i]) for i, r in got.items())
+
+
 # --- 4 simhash -----------------------------------------------------------------------------------
 
 
