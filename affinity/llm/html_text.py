@@ -5,8 +5,10 @@ Every path gathers the length, punctuation and link text of its blocks; its rati
 mean length of a block, raised by punctuation and lowered by links. The ratios are
 smoothed over the blocks in page order, so that a short line between long ones follows
 them, and paths above a share of the page's mean ratio are content. The content blocks
-choose their container (an article or main element, else their lowest common element),
-and the text is that of the container without what its elements mark as something else.
+choose their containers: all articles (else main elements) that hold some, else their
+lowest common element. Inside, the ratios choose the blocks: an article is a strong prior,
+under which only paths made of links fall, headings excepted; plain short lines stay. What
+elements mark as something else is left out, and so is text outside of the containers.
 
 Defined results: null and empty html, and pages without text, give empty text of length 0;
 a page cut off in the middle is read as far as it goes, an unfinished tag at its end is
@@ -38,6 +40,9 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 # fixed values: an element of the key's kind ends an open one of the value's, up to the bound
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p li pre blockquote dd dt td th figcaption summary caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of the level that a path of an article must reach.
+PRIOR = 0.05
 # fixed values: words of class and id names that mark what is not the article
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscri\w+|sidebar|side|widgets?|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|masthead|topbar|"
@@ -159,43 +164,45 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
     return out, tags
 
 
-def path_ratios(blocks: list[Block]) -> np.ndarray:
-    """For each block the ratio of its path, smoothed over the page."""
+def path_ratios(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """For each block the ratio of its path, smoothed over the page; and that of its path were there no links."""
     size = np.array([len(b.text) for b in blocks], float)
     marks = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], float)
     links = np.minimum(np.array([b.links for b in blocks], float), size)
     _, path = np.unique([b.path for b in blocks], return_inverse=True)
     nodes, chars, points, linked = (np.bincount(path, x) for x in (np.ones_like(size), size, marks, links))
-    ratio = chars / nodes * (1 + np.log1p(points / nodes)) * (1 - linked / chars) ** 2
+    plain = chars / nodes * (1 + np.log1p(points / nodes))
+    ratio = plain * (1 - linked / chars) ** 2
     kernel = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
     near = np.convolve(ratio[path], kernel, "full")[2:-2] / np.convolve(np.ones(len(blocks)), kernel, "full")[2:-2]
     # smoothing lifts a path's short blocks; it never lowers a path below itself
-    return np.maximum(near * (1 - links / size), ratio[path])
+    return np.maximum(near * (1 - links / size), ratio[path]), plain[path]
 
 
 def main_text(page: str | None, share: float = 0.25) -> str:
-    """The article of one page; ``share`` of the mean ratio (by length) makes a path content."""
+    """The articles of one page; ``share`` of the mean ratio (by length) makes a path content."""
     if not page:
         return ""
     blocks, tags = blocks_of(page)
     if not blocks:
         return ""
-    ratio = path_ratios(blocks)
+    ratio, plain = path_ratios(blocks)
     size = np.array([len(b.text) for b in blocks], float)
-    content = ratio >= share * (ratio * size).sum() / size.sum()
+    level = share * (ratio * size).sum() / size.sum()
+    content = ratio >= level
+    # where the page says what is text, a path is held against itself without links: short plain lines are not lost
+    likely = (ratio >= PRIOR * np.minimum(level, plain)) | np.array([b.tag in HEADINGS for b in blocks])
     weight: dict[int, float] = {}
     for b, s, c in zip(blocks, size, content):
         for p in b.parents:
             weight[p] = weight.get(p, 0.0) + s * c
-    named = [p for p in weight if tags[p] == "article" and weight[p]] or [p for p in weight if tags[p] == "main" and weight[p]]
+    named = {p for p in weight if tags[p] == "article" and weight[p]} or {p for p in weight if tags[p] == "main" and weight[p]}
     if named:
-        box = max(named, key=lambda p: (weight[p], -p))
-        inside = [box in b.parents for b in blocks]
-        take = inside
+        take = [not named.isdisjoint(b.parents) and x for b, x in zip(blocks, likely)]
     else:
         total = weight[0]
         box = max(p for p in weight if weight[p] >= 0.98 * total)
-        take = [box in b.parents and (c or b.tag in TEXTUAL and b.links < 0.5 * len(b.text)) for b, c in zip(blocks, content)]
+        take = [box in b.parents and (c or x and b.tag in TEXTUAL and b.links < 0.5 * len(b.text)) for b, c, x in zip(blocks, content, likely)]
     return "\n".join(b.text for b, t in zip(blocks, take) if t)
 
 

@@ -123,6 +123,15 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_ratios_choose_within_all_articles():
+    first, second = "First text, with some words.", "Second text, with more words, and a point."
+    links = "<ul>" + "<li><a href=/>Read this other page</a>" * 3 + "</ul>"
+    page = f"<article><h2><a href=/1>One</a></h2><p>{first}</p>{links}</article><article><h2>Two</h2><p>{second}</p><ol><li>a<li>b</ol></article>"
+    assert html_text.main_text(page) == f"One\n{first}\nTwo\n{second}\na\nb"
+    # a short plain line beside a very long one is text
+    assert html_text.main_text(f"<article><p>{second * 200}</p><ol><li>a<li>b<li>c<li>d<li>e<li>f</ol></article>").endswith("a\nb\nc\nd\ne\nf")
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 0), (1, "u", "<p>a</p>", 0), (None, None, None, 1)], "page_id long, url string, html string, n_chars long")
     got = html_text.extract(pages)
