@@ -48,14 +48,15 @@ def fingerprint(data: bytes | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` per row; fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp)`` per row and the long columns ``carry``; fp is the fingerprint's 64 bits as a signed long."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.fromiter((fingerprint(x, shingle) for x in raw(batch, "text")), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *carry])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    return map_arrow(picked, run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in carry)]))
 
 
 def distance(values: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -158,28 +159,33 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, bits: int = 2, shingle: int = 3) -> DataFrame:
-    """``(doc_id, fp, component_id, component_fp)`` per row of ``docs(doc_id, text)``.
+def near_duplicates(docs: DataFrame, bits: int = 2, shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp, component_id, component_fp)`` per row of ``docs(doc_id, text)``, and its long columns ``carry``.
 
     ``component_id`` is the smallest doc_id that links reach, ``component_fp`` the smallest
     fingerprint of the component (its key even where ids are null). Copies share a
     fingerprint and are one node of the graph, so a group of any size costs one row.
     """
-    found = cut(fingerprints(docs, shingle))
+    found = cut(fingerprints(docs, shingle, carry))
     classes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("low")))
     graph = connected_components(links(classes.select("fp"), bits))
     classes = classes.join(graph.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = classes.groupBy("component").agg(F.min("low").alias("component_id"))
     classes = classes.select("fp", "component").join(lowest, "component")
-    return found.join(classes, "fp", "left").select("doc_id", "fp", "component_id", F.col("component").alias("component_fp"))
+    return found.join(classes, "fp", "left").select("doc_id", "fp", "component_id", F.col("component").alias("component_fp"), *carry)
 
 
 def keep_one(docs: DataFrame, bits: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component, all columns kept.
+    """One row of each component of ``docs``, all columns kept: one with its smallest doc_id.
 
-    Rows that repeat a doc_id stand for one document: one of them stays.
+    A null doc_id stands in only where the component has no other. Of different texts under
+    that id in the component the one with the smallest hash stays, of repeated rows any.
+    Rows of one doc_id in different components are different documents.
     """
-    kept = near_duplicates(docs, bits, shingle).where("doc_id <=> component_id").select("doc_id").distinct()
-    # one key for both steps, null included, so that documents are dealt out once
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
-    return docs.select("*", key).join(kept.select(key), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    # a row's id and text in 128 bits: the row chosen is told by them, whatever ids are null or repeated
+    long, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    key = [F.xxhash64(long, text).alias("_k1"), F.xxhash64(text, long).alias("_k2")]
+    found = near_duplicates(docs.select("doc_id", "text", *key), bits, shingle, carry=("_k1", "_k2"))
+    chosen = found.where("doc_id <=> component_id").groupBy("component_fp").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("k._k1", "k._k2")
+    # one key for both steps, so that documents are dealt out once
+    return docs.select("*", *key).join(chosen, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*[f"`{c}`" for c in docs.columns])

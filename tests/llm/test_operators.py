@@ -215,6 +215,18 @@ def test_simhash_edges(edges, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_of_each_group_without_or_with_shared_ids(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
+    rows = [(None, a), (None, a), (None, b), (None, c), (5, c), (7, d), (7, d), (7, "e " + b), (7, None), (8, d), (8, "f")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {r.component_fp for r in got}
+    fps = [simhash.fingerprint((r.text or "").encode()) for r in kept]
+    of = {np.int64(r.fp).view(np.uint64).item(): r for r in got}
+    assert len(kept) == len(want) and {of[f].component_fp for f in fps} == want
+    assert all(r.doc_id == of[f].component_id for r, f in zip(kept, fps))
+
+
 # --- 5 licenses ----------------------------------------------------------------------------------
 
 
