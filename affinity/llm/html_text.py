@@ -49,6 +49,10 @@ MARKED = re.compile(
     r"comments?|commentlist|discussion|disqus|respond|repl(?:y|ies)|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|login|signup|signin|search|skip|copyright|legal|disclaimer|alert|toast|overlay|hidden|offscreen|sr-only)(?:$|[\s_-])",
     re.I,
 )
+# fixed values: such names say what a page or its layout has, not what the element is
+STATE = re.compile(r"(?:has|have|no|not|with|without|is|show|hide)[_-]", re.I)
+# fixed values: elements whose ids are anchors of an article's sections
+ANCHORED = frozenset("section h1 h2 h3 h4 h5 h6 p li dt dd td th tr figure blockquote pre details summary span a".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 PUNCTUATION = re.compile(r"[.,;:!?、。，！？]")
 
@@ -60,6 +64,7 @@ class Block:
     parents: tuple[int, ...]
     tag: str
     links: int
+    marked: tuple[int, ...] = ()
 
 
 @dataclass
@@ -68,18 +73,30 @@ class Element:
     number: int
     name: str
     dropped: bool
+    marked: tuple[int, ...] = ()
+
+
+def is_named(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether class or id name an element as something else than an article's text."""
+    if len(attributes) < 4 or tag in ("html", "body", "article", "main"):
+        return False
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name == "class" or name == "id" and not (inside and tag in ANCHORED):
+            for word in (a or b or c).split():
+                if not STATE.match(word) and (MARKED.search(word) or not inside and re.search(r"(?:^|[_-])(?:header)(?:$|[_-])", word, re.I)):
+                    return True
+    return False
 
 
 def is_marked(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is not part of an article; ``inside`` an article its header is."""
+    """Whether an element is never part of an article; ``inside`` an article its header is."""
     if tag in DROPPED or tag == "header" and not inside:
         return True
     if len(attributes) < 4 or tag in ("html", "body", "article", "main"):
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and (MARKED.search(value) or not inside and re.search(r"(?:^|[\s_-])(?:header)(?:$|[\s_-])", value, re.I)):
-            return True
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
@@ -96,7 +113,7 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
         nonlocal links
         if buffer:
             if not stack[-1].dropped and (text := " ".join("".join(buffer).split())):
-                out.append(Block(text, "/".join(e.name for e in stack), tuple(e.number for e in stack), stack[-1].tag, links))
+                out.append(Block(text, "/".join(e.name for e in stack), tuple(e.number for e in stack), stack[-1].tag, links, stack[-1].marked))
             buffer.clear()
         links = 0
 
@@ -140,7 +157,7 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
                 add(" ")
         elif tag in INLINE:
             in_link = in_link or tag == "a"
-            if is_marked(tag, m[3], True) and not m[3].endswith("/>"):
+            if (is_marked(tag, m[3], True) or is_named(tag, m[3], True)) and not m[3].endswith("/>"):
                 # a hidden inline element: skip to its end tag
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 if end:
@@ -157,7 +174,8 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
             number += 1
             tags[number] = tag
             inside = any(e.tag in ("article", "main") for e in stack)
-            stack.append(Element(tag, number, tag, stack[-1].dropped or is_marked(tag, m[3], inside)))
+            marked = stack[-1].marked + ((number,) if is_named(tag, m[3], inside) else ())
+            stack.append(Element(tag, number, tag, stack[-1].dropped or is_marked(tag, m[3], inside), marked))
     else:
         add(page[at:])
     flush()
@@ -179,11 +197,41 @@ def path_ratios(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(near * (1 - links / size), ratio[path]), plain[path]
 
 
+def without_marked(blocks: list[Block], tags: dict[int, str], share: float = 0.5) -> list[Block]:
+    """The blocks outside of elements that class or id name as something else.
+
+    Such a name is not believed where the element holds the page's articles (none lies outside),
+    or, on a page without, where it holds most of the text on paths without links.
+    """
+    if not any(b.marked for b in blocks):
+        return blocks
+    boxes = {k: {p for b in blocks for p in b.parents if tags[p] == k} for k in ("article", "main")}
+    boxes = boxes["article"] or boxes["main"]
+    ratio, _ = path_ratios(blocks)
+    text = np.array([len(b.text) for b in blocks], float) * (ratio > 0)
+    held: dict[int, float] = {}
+    for b, x in zip(blocks, text):
+        for p in b.marked:
+            held[p] = held.get(p, 0.0) + x
+    if boxes:
+        # marks around the article: each box's marked parents, unless a box has none
+        around = [set(b.marked[: sum(q < box for q in b.marked)]) for b in blocks for box in boxes.intersection(b.parents)]
+        spared = set.union(*around) if all(around) else set()
+    else:
+        spared = {p for p, x in held.items() if x > share * text.sum()}
+    kept = [b for b in blocks if spared.issuperset(b.marked)]
+    # an article whose whole text is marked keeps it
+    return kept or (blocks if boxes else [])
+
+
 def main_text(page: str | None, share: float = 0.25) -> str:
     """The articles of one page; ``share`` of the mean ratio (by length) makes a path content."""
     if not page:
         return ""
     blocks, tags = blocks_of(page)
+    if not blocks:
+        return ""
+    blocks = without_marked(blocks, tags)
     if not blocks:
         return ""
     ratio, plain = path_ratios(blocks)

@@ -132,6 +132,20 @@ def test_ratios_choose_within_all_articles():
     assert html_text.main_text(f"<article><p>{second * 200}</p><ol><li>a<li>b<li>c<li>d<li>e<li>f</ol></article>").endswith("a\nb\nc\nd\ne\nf")
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='layout has-sidebar'><article><p>One, two.</p></article><div class=sidebar><p>s, s.</p></div></div>", "One, two."),
+        ("<div class='no-sidebar'><p>One, two.</p></div><div class=ad>Buy.</div>", "One, two."),
+        ("<div id=sidebar-right><article><p>One, two.</p></article></div>", "One, two."),
+        ("<article><p>x</p><section id=discussion><p>d</p></section><section id=related-work><p>r</p></section><section id=legal><p>l</p></section></article>", "x\nd\nr\nl"),
+        ("<article><p>x</p></article><div id=comments><article><p>Nice, very nice. So nice!</p></article></div>", "x"),
+    ],
+)
+def test_marks_do_not_drop_the_article(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 0), (1, "u", "<p>a</p>", 0), (None, None, None, 1)], "page_id long, url string, html string, n_chars long")
     got = html_text.extract(pages)
