@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from affinity.llm import chat, common, decontamination, embeddings, html_text, licenses, lm, packing, quality, simhash, toxicity
 from affinity.llm.queries import vocabulary
+from brute import Walker
 
 LONG = "long words go on " * 20_000
 EDGES = [(1, "a b c d e"), (1, "a b c d e"), (2, None), (3, ""), (4, " \t\n"), (5, LONG), (None, "a b c d e"), (6, "Ärger 中文 é \U0001f600"), (7, None)]
@@ -431,20 +432,23 @@ def test_quality_co_training(spark, edges, none):
 # --- 10 language model ---------------------------------------------------------------------------
 
 
-def test_scores_equal_the_automaton(spark, none, edges):
+def test_scores_equal_a_walk_state_by_state(spark, none, edges, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 1000)  # several buckets
     rng = random.Random(13)
     vocab = [f"w{i}" for i in range(60)]
     texts = [" ".join(rng.choice(vocab[: 5 + i % 55]) for _ in range(rng.randrange(40))) for i in range(200)] + [None, "", "Unseen WORDS here"]
+    texts += [texts[0]] * 3 + [" ".join(vocab * 30)]
     df = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, block string, trained long")
     train = [t or "" for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
-    model = lm.Automaton(train)
+    model = Walker(train)
     got = lm.score_documents(df, ~common.held_out("doc_id", 7), block_bytes=2000).collect()
     assert len(got) == len(texts)
-    counts, n, v = model.count, model.weights.tokens, model.weights.types
+    n, v = model.weights.tokens, model.weights.types
     for r in got:
         tokens = [*(texts[r.doc_id] or "").lower().encode().split(), b""]
+        known = [model.count.get((w,), 0) for w in tokens]
         assert r.score == pytest.approx(model.score(texts[r.doc_id] or "")) and (r.n_tokens, r.train_tokens) == (len(tokens), n)
-        assert r.base_score == pytest.approx(sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in tokens)) and r.n_known == sum(w in counts for w in tokens)
+        assert r.base_score == pytest.approx(sum(math.log10((c + 1) / (n + v + 1)) for c in known)) and r.n_known == sum(c > 0 for c in known)
     assert lm.score_documents(none, F.lit(True)).count() == 0
     assert lm.score_documents(edges, F.lit(True)).count() == len(EDGES)
     alone = lm.score_documents(edges, F.lit(False)).select("train_tokens", "base_score").distinct().collect()
@@ -452,10 +456,13 @@ def test_scores_equal_the_automaton(spark, none, edges):
 
 
 def test_states_sum_to_one():
-    model = lm.Automaton(["a b a c", "b b", "c a"])
-    uni = model.weights.unigram(np.array([*model.count.values(), 0]))
-    assert uni.sum() == pytest.approx(1)
-    for state in [*model.count, b"never"]:
-        c = model.count.get(state, 0)
-        arcs = [(model.arcs.get((state, w), 0) + model.weights.mu * u) / (c + model.weights.mu) for w, u in zip([*model.count, b"?"], uni)]
-        assert sum(arcs) == pytest.approx(1)
+    model = Walker(["a b a c", "b b", "c a", "a b a b"])
+    words = [w for (w,) in (g for g in model.count if len(g) == 1)]
+    for state in [(), (b"never",), *[(w,) for w in words], *[g for g in model.count if len(g) == 2 and g[1]]]:
+        assert sum(model.probability(w, state) for w in [*words, b"?"]) == pytest.approx(1)
+
+
+@pytest.mark.parametrize(("n", "bits"), [(0, 10), (1, 40), (5, 3), (1000, 47), (20000, 64), (3000, 12)])
+def test_keys_travel_whole(n, bits):
+    keys = np.sort(np.random.default_rng(n).integers(0, 2**bits - 1, n, dtype=np.uint64, endpoint=True))
+    assert (lm.unpack(lm.pack(keys, bits), n, bits) == keys).all()

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from affinity.llm import common, lm, queries, simhash
+from affinity.llm import common, queries, simhash
+
+from brute import Walker
 
 DATA = "/root/testdata/sf0.001"
 #: With enough toxic documents to learn from.
@@ -95,11 +97,16 @@ def test_op9_agrees_with_labels(spark):
     assert sum(r.kept == bool(r.quality) for r in got) >= 0.9 * len(got)
 
 
-def test_op10_equals_the_automaton(spark, docs):
-    model = lm.Automaton([t for i, t in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+def test_op10_equals_a_walk_state_by_state(spark, docs):
+    model = Walker([t for i, t in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+    n, v = model.weights.tokens, model.weights.types
     got = {r.doc_id: r for r in queries.op10_lm(spark, DATA).collect()}
-    assert all(r.train_tokens == model.weights.tokens for r in got.values())
-    assert all(got[i].score == pytest.approx(model.score(docs[i])) for i in sorted(docs)[:40])
+    assert set(got) == set(docs)
+    for i, text in docs.items():
+        known = [model.count.get((w,), 0) for w in [*text.encode().lower().split(), b""]]
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(known), sum(c > 0 for c in known), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c + 1) / (n + v + 1)) for c in known)) and r.score == pytest.approx(model.score(text))
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
