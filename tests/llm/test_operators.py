@@ -327,30 +327,77 @@ def test_word_ids_equal_the_tokenizer():
         assert np.frombuffer(words.ids(text.encode()), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
-def test_sweep_is_best_fit_decreasing():
+def test_other_vocabularies_take_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    assert packing.by_words(vocabulary("word_bpe_49k.json")) and not packing.by_words(path)
+    text = "Two  words\n and é"
+    assert np.frombuffer(packing.TextIds(path).ids(text.encode()), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    # bytes that are no UTF-8
+    assert packing.TextIds(path).ids(b"a\xff b") and packing.WordIds(vocabulary("word_bpe_49k.json")).ids(b"a\xff b")
+
+
+def decreasing(sizes, capacity):
+    """How many sequences best-fit decreasing takes, one piece after the other."""
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fit = min((g for g in gaps if g >= s), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((capacity if fit is None else fit) - s)
+    return len(gaps)
+
+
+def placed_pieces(out, counts, capacity):
+    """The sequences that placements fill; each piece once, gapless, within the capacity."""
+    filled, ranks = {}, {}
+    for length, rank, n, sequence, per, offset in out:
+        for i in range(n):
+            filled.setdefault(sequence + i // per, []).append((offset + i % per * length, length))
+            ranks.setdefault(length, []).append(rank + i)
+    assert {k: sorted(x) for k, x in ranks.items()} == {k: list(range(n)) for k, n in counts.items()}
+    for own in filled.values():
+        own.sort()
+        assert [o for o, _ in own] == [0, *itertools.accumulate(s for _, s in own)][:-1] and sum(s for _, s in own) <= capacity
+    return len(filled)
+
+
+def test_tail_is_best_fit_decreasing():
     rng = random.Random(9)
     for _ in range(60):
         capacity = rng.choice([10, 50])
-        sizes = sorted((rng.randint(1, capacity) for _ in range(rng.randrange(1, 80))), reverse=True)
-        gaps = []
-        for s in sizes:
-            fit = min((g for g in gaps if g >= s), default=None)
-            if fit is not None:
-                gaps.remove(fit)
-            gaps.append((capacity if fit is None else fit) - s)
+        sizes = [rng.randint(1, capacity) for _ in range(rng.randrange(1, 80))]
         counts = {s: sizes.count(s) for s in sizes}
-        plan = packing.sweep(counts, capacity)
-        keys = list(zip(plan["length"].tolist(), plan["rank"].tolist()))
-        filled = {}
-        for s in counts:
-            for r in range(counts[s]):
-                i = max(k for k, (n, first) in enumerate(keys) if n == s and first <= r)
-                filled.setdefault(int(plan["sequence"][i]) + r - keys[i][1], []).append((int(plan["offset"][i]), s))
-        for own in filled.values():
-            own.sort()
-            assert [o for o, _ in own] == [0, *itertools.accumulate(s for _, s in own)][:-1]
-            assert sum(s for _, s in own) <= capacity
-        assert len(filled) == len(gaps)
+        out = packing.best_fit([], [(s, 0, n) for s, n in counts.items()], 0, capacity)
+        assert placed_pieces(out, counts, capacity) == decreasing(sizes, capacity)
+
+
+def test_sweep_takes_the_smallest_gaps_longest_first():
+    rng = random.Random(10)
+    for _ in range(200):
+        gaps = [rng.randint(1, 30) for _ in range(rng.randrange(12))]
+        lengths = rng.sample(range(1, 31), rng.randrange(10))
+        placed, filled, unused, left = packing.sweep([(g, i, 1) for i, g in enumerate(gaps)], [(s, 0, 1) for s in lengths], 30)
+        free, want = dict(enumerate(gaps)), {}
+        for s in sorted(lengths, reverse=True):
+            if fit := min((g for g in free.values() if g >= s), default=None):
+                want[s] = fit
+                del free[next(i for i, g in free.items() if g == fit)]
+        assert {x[0]: 30 - x[5] for x in placed} == want and sorted(x[0] for x in unused) == sorted(free.values())
+        assert sorted(x[0] for x in left) == sorted(set(lengths) - set(want)) and sorted(x[0] for x in filled) == sorted(g - s for s, g in want.items())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rounds_come_near_best_fit_decreasing(spark, monkeypatch, seed):
+    monkeypatch.setattr(packing, "TAIL", 20)
+    rng = random.Random(seed)
+    capacity = 256
+    sizes = [min(capacity, 1 + int(rng.expovariate(1 / 60))) for _ in range(3000)]
+    counts = {s: sizes.count(s) for s in sizes}
+    plan = packing.placements(spark.createDataFrame(list(counts.items()), "length long, n long"), capacity)
+    out = list(zip(*(plan[c].tolist() for c in ("length", "rank", "n", "sequence", "per", "offset"))))
+    assert placed_pieces(out, counts, capacity) <= 1.01 * decreasing(sizes, capacity) + 1
 
 
 def test_pack_rows(edges, none):
