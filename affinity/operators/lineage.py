@@ -1,4 +1,4 @@
-"""Recovery points for walks whose plans would grow with every step."""
+"""Lineage cuts at the reliable checkpoint folder."""
 
 from __future__ import annotations
 
@@ -8,8 +8,19 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from the shared checkpoint folder (``spark.checkpoint.dir``; a temporary one only where none is set)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="affinity-"))
+    """Write ``df`` to the reliable checkpoint folder and return it with its lineage cut.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. A temporary one
+    is set only where that setting is absent and all runs on one machine (tests, a laptop);
+    executors elsewhere would not see it.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="affinity-checkpoint-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
