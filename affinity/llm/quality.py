@@ -1,13 +1,16 @@
 """Document quality by co-training two views.
 
-The content view sees the text as pairs of neighbouring character classes and as word
-repetition; the page view sees what is known about the document without reading it
-(language, source, stated length) and the page's layout in lines. Each view is a
-logistic model. Starting from the labelled documents, both are fitted in rounds: a view
-labels the unlabelled documents that it is surest of, and these go into the training of
-the *other* view. Each view's score is then calibrated on labelled documents kept out of
-training, and the calibrated log-odds of both are combined, with weights fitted there
-too, into the probability that a document is of quality.
+The content view sees the text alone: pairs of neighbouring character classes, word
+repetition and the layout of lines. The page view sees what is known about the document
+without reading it: language, source and stated length. Each view is a logistic model.
+Starting from the labelled documents, both are fitted in rounds: a view labels the
+unlabelled documents that it is surest of, in the proportion of the classes among the labels,
+and these go into the training of the *other* view; each round gives twice as many. Each
+view's score is calibrated on labelled documents kept out of training, and the calibrated
+log-odds of both are combined, with weights fitted there too, into the probability that a
+document is of quality. Each half of the kept documents judges a round's model by a calibration on
+the other half, and a round (the first is that without pseudo-labels) is preferred to an
+earlier one only if it saves loss there.
 
 The models are fitted on at most ``labelled`` labelled and ``unlabelled`` other documents,
 drawn by a hash of the id; every document is scored over its whole text.
@@ -30,12 +33,14 @@ from pyspark.sql import functions as F
 
 from .common import filter_arrow, map_arrow, raw
 
-#: Documents at most that the models are fitted on; rounds, and pseudo-labels a view gives per round and class.
-LABELLED, UNLABELLED, ROUNDS, PER_ROUND = 6000, 3000, 5, 100
+#: Documents at most that the models are fitted on; rounds, pseudo-labels a view gives in the first, and the log-odds they need.
+LABELLED, UNLABELLED, ROUNDS, FIRST, SURE = 6000, 6000, 5, 50, 3.0
+#: Loss on the kept documents, in nats over all of them, that a later round must save to be preferred.
+GAIN = 0.2
 #: Below this probability a document is rejected.
 THRESHOLD = 0.5
-META = ("lang", "source", "n_chars")
-HASHED = 24
+META = {"lang": "string", "source": "string", "n_chars": "double"}
+HASHED, MAGNITUDES = 24, 16
 
 KINDS = 16
 # character classes: letters, capitals, digits, space, line end, bytes beyond ASCII, and common marks each on its own
@@ -53,20 +58,23 @@ def content_features(text: bytes | None) -> np.ndarray:
     n = max(len(words), 1)
     distinct = len(set(words))
     again = sum(map(bytes.__eq__, words, words[1:]))
+    size = np.array([len(x) for x in text.split(b"\n")], float)
     more = [distinct / n, again / n, np.log1p(n), distinct / np.sqrt(n), len(text) / n]
-    return np.concatenate([np.log1p(1000 * pairs / max(len(kinds), 1)), more]).astype(np.float32)
+    layout = [np.log1p(len(size)), np.log1p(size.mean()), np.log1p(size.max()), np.log1p(size.std()), (size < 40).mean(), (size == 0).mean()]
+    return np.concatenate([np.log1p(1000 * pairs / max(len(kinds), 1)), more, layout]).astype(np.float32)
 
 
-def page_features(text: bytes | None, lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
-    """Metadata, names hashed, and the layout of lines."""
-    names = np.zeros(2 * HASHED)
+def page_features(lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
+    """Metadata: names hashed, and the stated length, as it is and by its magnitude."""
+    out = np.zeros(2 * HASHED + MAGNITUDES + 1)
     for at, name in ((0, lang), (HASHED, source)):
         if name is not None:
-            names[at + zlib.crc32(name.encode()) % HASHED] = 1
-    lines = [len(x) for x in (text or b"").split(b"\n")]
-    size = np.array(lines, float)
-    layout = [np.log1p(len(lines)), np.log1p(size.mean()), np.log1p(size.max()), np.log1p(size.std()), (size < 40).mean(), (size == 0).mean(), 1.0 if n_chars is None else 0.0, np.log1p(max(n_chars or 0, 0))]
-    return np.concatenate([names, layout]).astype(np.float32)
+            out[at + zlib.crc32(name.encode()) % HASHED] = 1
+    if n_chars is not None and n_chars == n_chars:
+        size = np.log2(1 + max(n_chars, 0))
+        out[2 * HASHED + min(int(size), MAGNITUDES - 1)] = 1
+        out[-1] = size
+    return out.astype(np.float32)
 
 
 @dataclass
@@ -112,44 +120,67 @@ class Model:
         return 1 / (1 + np.exp(-self.both.margin(odds)))
 
 
-def co_train(content: np.ndarray, page: np.ndarray, label: np.ndarray) -> Model:
+def calibrated(views: tuple[Logistic, Logistic], x: tuple[np.ndarray, np.ndarray], y: np.ndarray) -> Model:
+    """The views with curves and weights fitted to rows that they were not trained on."""
+    margins = [v.margin(f) for v, f in zip(views, x)]
+    curves = tuple(Logistic.fit(m[:, None], y, 0.1) for m in margins)
+    odds = np.stack([c.margin(m[:, None]) for c, m in zip(curves, margins)], axis=1)
+    return Model(views, curves, Logistic.fit(odds, y, 0.1))
+
+
+def co_train(content: np.ndarray, page: np.ndarray, label: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Fit on rows whose label is 0, 1, or -1 for unlabelled. One labelled row in three is kept for calibration."""
     labelled = np.flatnonzero(label >= 0)
     kept, train = labelled[::3], np.setdiff1d(labelled, labelled[::3])
     if any(len(np.unique(label[x])) < 2 for x in (kept, train)):
         return Model()
     x = (content, page)
+    y = label[kept].astype(float)
+    halves = [(np.arange(len(kept)) % 2 == k) for k in (0, 1)]
+    judged = all(len(np.unique(y[h])) == 2 for h in halves)
+
+    def loss(views: tuple[Logistic, Logistic]) -> float:
+        total = 0.0
+        for fit_on, test_on in (halves, halves[::-1]):
+            p = calibrated(views, tuple(f[kept[fit_on]] for f in x), y[fit_on]).probability(*(f[kept[test_on]] for f in x))
+            total -= np.log(np.clip(np.where(y[test_on] > 0, p, 1 - p), 1e-6, 1)).sum()
+        return total
+
     given = [{int(i): int(label[i]) for i in train} for _ in x]
-    open_ = set(np.flatnonzero(label < 0).tolist())
-    for _ in range(ROUNDS + 1):
-        views = [Logistic.fit(f[list(g)], np.array(list(g.values()), float)) for f, g in zip(x, given)]
-        rest = np.array(sorted(open_), int)
-        if not len(rest) or _ == ROUNDS:
-            break
+    share, best = label[train].mean(), (np.inf, None)
+    open_ = [set(np.flatnonzero(label < 0).tolist()) for _ in x]
+    for k in range(rounds + 1):
+        views = tuple(Logistic.fit(f[list(g)], np.array(list(g.values()), float)) for f, g in zip(x, given))
+        now = loss(views) if judged else 0.0
+        curves = calibrated(views, tuple(f[kept] for f in x), y).curves
+        if now < best[0] - GAIN:
+            best = (now, views)
         for v in (0, 1):
-            margin = views[v].margin(x[v][rest])
+            rest = np.array(sorted(open_[1 - v]), int)
+            if not len(rest):
+                continue
+            # sure by the curve of the kept documents: a view that tells little is never sure
+            margin = curves[v].margin(views[v].margin(x[v][rest])[:, None])
             order = np.argsort(margin, kind="stable")
-            sure = [(rest[i], 0) for i in order[:PER_ROUND] if margin[i] < -2] + [(rest[i], 1) for i in order[::-1][:PER_ROUND] if margin[i] > 2]
-            for i, y in sure:
-                given[1 - v].setdefault(int(i), y)
-                open_.discard(int(i))
-    y = label[kept].astype(float)
-    curves = tuple(Logistic.fit(v.margin(f[kept])[:, None], y, 0.1) for v, f in zip(views, x))
-    odds = np.stack([c.margin(v.margin(f[kept])[:, None]) for v, c, f in zip(views, curves, x)], axis=1)
-    return Model(tuple(views), curves, Logistic.fit(odds, y, 0.1))
+            many = FIRST << k
+            bad, good = max(1, round(many * (1 - share))), max(1, round(many * share))
+            sure = [(rest[i], 0) for i in order[:bad] if margin[i] < -SURE] + [(rest[i], 1) for i in order[::-1][:good] if margin[i] > SURE]
+            for i, mark in sure:
+                given[1 - v][int(i)] = mark
+                open_[1 - v].discard(int(i))
+    return calibrated(best[1], tuple(f[kept] for f in x), y)
 
 
 def picked(docs: DataFrame) -> DataFrame:
     """The columns that the views read; metadata that a table lacks is null."""
     have = {c.lower() for c in docs.columns}
-    kinds = {"lang": "string", "source": "string", "n_chars": "double"}
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[(F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in META])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in META.items()])
 
 
 def views_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     texts = raw(batch, "text")
     meta = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in META]
-    return np.stack([content_features(x) for x in texts]), np.stack([page_features(*r) for r in zip(texts, *meta)])
+    return np.stack([content_features(x) for x in texts]), np.stack([page_features(*r) for r in zip(*meta)])
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
@@ -185,4 +216,4 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, all columns kept."""
-    return filter_arrow(docs, ["text", *META], lambda batch: (model.probability(*views_of(batch)) >= threshold).tolist(), rows=256)
+    return filter_arrow(docs, {"text": "string", **META}, lambda batch: (model.probability(*views_of(batch)) >= threshold).tolist(), rows=256)
