@@ -9,9 +9,8 @@ sum p0(w) e^(lambda s(w)) = 1 and K is fitted to the other labelled documents. T
 ``lambda S - ln(K n)`` of the significant segments add up, and a logistic curve fitted on
 the labelled documents turns the sum into the probability that the label is 1.
 
-The lexicon and the curve are fitted on at most ``labelled`` documents, drawn by a hash
-of their id; a word
-counts once a document and once a context (the word before it), so that neither copies nor
+A word counts where its likelihood ratio is beyond chance among all words tested, so the
+lexicon grows with the labels. The lexicon and the curve are fitted on at most ``labelled`` documents, drawn by a hash of their id; a word counts once a document and once a context (the word before it), so that neither copies nor
 one long document vote many times. Every document is scored over its whole text.
 
 Defined results: null, empty and word-less texts get the curve's value at no evidence;
@@ -33,9 +32,8 @@ from .common import filter_arrow, map_arrow, raw
 
 #: Documents at most that the model is fitted on.
 LABELLED = 20_000
-#: Toxic documents, and contexts in them, that a word needs, and its likelihood ratio:
-#: 28 is passed by chance by one word in ten million.
-LEAST, LEAST_RATIO = 3, 28.0
+#: Toxic documents, and contexts in them, that a word needs, and how many words may pass for toxic by chance.
+LEAST, CHANCE = 3, 0.01
 #: Log-odds below which a word is left with the rest.
 LEAST_ODDS = 3.0
 
@@ -55,7 +53,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 def features(word: bytes) -> list[str]:
     """The word and its beginnings, marked with a hyphen."""
-    text = word.decode()
+    text = word.decode(errors="replace")
     return [text, *(text[:k] + "-" for k in STEMS if k < len(text))]
 
 
@@ -64,10 +62,11 @@ def segments(position: np.ndarray, score: np.ndarray, rest: float) -> list[tuple
 
     ``position`` holds the words with a score of their own, ascending; every word between
     two of them scores ``rest`` <= 0. The list of candidate segments keeps, for each, the
-    cumulative score to its left and right; a new one is merged with the nearest earlier
-    candidate whose left sum is lower, as long as its right sum is higher.
+    cumulative score to its left and right, and which earlier candidate is the nearest whose
+    left sum is lower; a new one is merged with that candidate as long as its right sum is
+    higher. Candidates that a link skips are never looked at again, so the scan is linear.
     """
-    found: list[list] = []  # first, last, sum before, sum after
+    first, last, low, high, lower = [], [], [], [], []
     total, at = 0.0, 0
     for p, s in zip(position.tolist(), score.tolist()):
         total += rest * (p - at)
@@ -75,17 +74,29 @@ def segments(position: np.ndarray, score: np.ndarray, rest: float) -> list[tuple
         before, total = total, total + s
         if s <= 0:
             continue
-        new = [p, p, before, total]
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                break
-            new[0], new[2] = found[j][0], found[j][2]
-            del found[j:]
-        found.append(new)
-    return [(a, b, after - before) for a, b, before, after in found]
+        start, j = p, len(first) - 1
+        while j >= 0 and low[j] >= before:
+            j = lower[j]
+        while j >= 0 and high[j] < total:
+            start, before, k = first[j], low[j], lower[j]
+            for x in (first, last, low, high, lower):
+                del x[j:]
+            j = k
+        first.append(start)
+        last.append(p)
+        low.append(before)
+        high.append(total)
+        lower.append(j)
+    return [(a, b, y - x) for a, b, x, y in zip(first, last, low, high)]
+
+
+def least_ratio(words: int) -> float:
+    """The likelihood ratio that ``CHANCE`` of so many words reach, where none has to do with the label (chi square, one side)."""
+    low, high = 0.0, 200.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if words * math.erfc(math.sqrt(mid / 2)) / 2 <= CHANCE else (mid, high)
+    return high
 
 
 @dataclass
@@ -136,7 +147,7 @@ def uses(sample: DataFrame) -> DataFrame:
         rows = []
         for doc, text in zip(batch.column(1).to_pylist(), raw(batch, "text")):
             words = words_of(text)
-            rows += {(f, v.decode(), doc) for v, w in set(zip([b"", *words], words)) for f in features(w)}
+            rows += {(f, v.decode(errors="replace"), doc) for v, w in set(zip([b"", *words], words)) for f in features(w)}
         return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (zip(*rows) if rows else ([], [], []))], names=["word", "before", "doc"])
 
     return map_arrow(sample.where("label > 0").select("text", "copy"), run, "word string, before string, doc string")
@@ -183,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, labelled: int = LABELLED) ->
         prior = 2 * pooled
         odds = np.log((y1 + prior) / (n1 + 2)) - np.log((y0 + prior) / (n0 + 2))
         ratio = 2 * (y1 * np.log(y1 / (pooled * n1)) + y0 * np.log(np.maximum(y0, 1e-9) / (pooled * n0)))
-        take = (odds >= LEAST_ODDS) & (ratio >= LEAST_RATIO)
+        take = (odds >= LEAST_ODDS) & (ratio >= least_ratio(len(known)))
         model.scores = {w: float(s) for w, s, t in zip(known, odds, take) if t}
         rest1, rest0 = max(n1 - y1[take].sum(), 1), max(n0 - y0[take].sum(), 1)
         model.rest = min(-1e-4, math.log(rest1 / n1) - math.log(rest0 / n0))
@@ -260,4 +271,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 def keep_civil(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns kept."""
-    return filter_arrow(docs, ["text"], lambda batch: [model.probability(model.evidence(words_of(x))) < threshold for x in raw(batch, "text")])
+    return filter_arrow(docs, {"text": "string"}, lambda batch: [model.probability(model.evidence(words_of(x))) < threshold for x in raw(batch, "text")])
