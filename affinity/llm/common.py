@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,18 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and return it with its lineage cut.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary
-    one is set only when that setting is absent (tests, a laptop).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="affinity-checkpoint-"))
-    return df.checkpoint()
+from ..operators.lineage import cut
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 512) -> DataFrame:
@@ -35,20 +23,40 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
-def filter_arrow(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], list[bool]], rows: int = 512) -> DataFrame:
-    """The rows of ``df``, whole, for which ``fn`` of the named columns says True.
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``docs`` does not have."""
+    have = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def filter_arrow(docs: DataFrame, columns: dict[str, str], fn: Callable[[pa.RecordBatch], list[bool]], rows: int = 512) -> DataFrame:
+    """The rows of ``docs``, whole, for which ``fn`` of the named columns says True.
 
-    ``fn`` gets a batch of these columns under their names here; names match as Spark matches them.
+    ``fn`` gets a batch of the columns under their names here, as the types here; a column that
+    ``docs`` lacks is null. Names match as Spark matches them.
     """
-    at = [next(i for i, name in enumerate(df.columns) if name.lower() == c) for c in columns]
+    at, more, width = [], [], len(docs.columns)
+    for name, kind in columns.items():
+        own = next((i for i, c in enumerate(docs.columns) if c.lower() == name), None)
+        if own is not None and docs.dtypes[own][1] == kind:
+            at.append(own)
+        else:
+            at.append(width + len(more))
+            more.append((F.lit(None) if own is None else F.col(f"`{docs.columns[own]}`")).cast(kind).alias(fresh(docs, name)[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, rows):
                 part = batch.slice(begin, rows)
-                yield part.filter(pa.array(fn(pa.RecordBatch.from_arrays([part.column(i) for i in at], names=columns)), pa.bool_()))
+                keep = pa.array(fn(pa.RecordBatch.from_arrays([part.column(i) for i in at], names=list(columns))), pa.bool_())
+                yield part.select(range(width)).filter(keep)
 
-    return df.mapInArrow(run, df.schema)
+    return (docs.select("*", *more) if more else docs).mapInArrow(run, docs.schema)
 
 
 def raw(batch: pa.RecordBatch, name: str) -> list[bytes | None]:

@@ -112,7 +112,7 @@ def phrase_places(text: str, phrase: str) -> list[int]:
 def scan_text(data: bytes | None, scan: Scanner) -> dict:
     """All that one text yields; ``spans`` are ``(label, first word, last word, edits)``."""
     words = (data or b"").translate(WORDS).split()
-    text = b" ".join(words).decode()
+    text = b" ".join(words).decode(errors="replace")
     at = [(p, label) for phrase, label in PHRASES.items() for p in phrase_places(text, phrase)]
     fuzzy = scan.places(text)
     word = lambda p: text.count(" ", 0, p)

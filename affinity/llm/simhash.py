@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, map_arrow, merge_labels, raw
+from .common import connected_components, cut, fresh, map_arrow, merge_labels, raw
 
 #: Shingle hashes whose bits are unpacked at once; bounds memory for very long texts.
 CHUNK = 1 << 15
@@ -184,8 +184,9 @@ def keep_one(docs: DataFrame, bits: int = 2, shingle: int = 3) -> DataFrame:
     """
     # a row's id and text in 128 bits: the row chosen is told by them, whatever ids are null or repeated
     long, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    key = [F.xxhash64(long, text).alias("_k1"), F.xxhash64(text, long).alias("_k2")]
-    found = near_duplicates(docs.select("doc_id", "text", *key), bits, shingle, carry=("_k1", "_k2"))
-    chosen = found.where("doc_id <=> component_id").groupBy("component_fp").agg(F.min(F.struct("_k1", "_k2")).alias("k")).select("k._k1", "k._k2")
+    names = fresh(docs, "key_one", "key_two")
+    key = [F.xxhash64(long, text).alias(names[0]), F.xxhash64(text, long).alias(names[1])]
+    found = near_duplicates(docs.select("doc_id", "text", *key), bits, shingle, carry=tuple(names))
+    chosen = found.where("doc_id <=> component_id").groupBy("component_fp").agg(F.min(F.struct(*names)).alias("k")).select(*[f"k.{n}" for n in names])
     # one key for both steps, so that documents are dealt out once
-    return docs.select("*", *key).join(chosen, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*[f"`{c}`" for c in docs.columns])
+    return docs.select("*", *key).join(chosen, names, "left_semi").dropDuplicates(names).select(*[f"`{c}`" for c in docs.columns])

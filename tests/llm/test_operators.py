@@ -22,8 +22,8 @@ EDGES = [(1, "a b c d e"), (1, "a b c d e"), (2, None), (3, ""), (4, " \t\n"), (
 @pytest.fixture(scope="module")
 def edges(spark):
     """Nulls, empty and very long texts, repeats, and further columns under clashing names."""
-    rows = [(i, t, 1, "x", 0.5, None) for i, t in EDGES]
-    return spark.createDataFrame(rows, "doc_id long, text string, block int, fp string, score double, component_id long")
+    rows = [(i, t, 1, "x", 0.5, None, 1) for i, t in EDGES]
+    return spark.createDataFrame(rows, "doc_id long, text string, block int, fp string, score double, component_id long, key_one int")
 
 
 @pytest.fixture(scope="module")
@@ -97,6 +97,28 @@ def test_toxicity_learns_and_holds_out(toxic_docs):
     assert kept.columns == toxic_docs.columns and kept.where("toxic = 1").count() == 0 and kept.count() == 480
 
 
+def test_segments_in_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 64_000):
+        began = time.perf_counter()
+        assert len(toxicity.segments(np.arange(n) * 50, np.full(n, 2.0), -0.5)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 60 * max(took[0], 0.005)
+
+
+def test_keep_rows_of_any_kind(spark, edges, toxic_docs):
+    model = toxicity.fit(toxic_docs, toxic_docs, F.lit(True))
+    for kept in (toxicity.keep_civil(edges, model, threshold=2.0), toxicity.keep_civil(edges, toxicity.Model())):
+        assert kept.columns == edges.columns and sorted(map(str, kept.collect())) == sorted(map(str, edges.collect()))
+    assert toxicity.keep_civil(edges.limit(0), model).count() == 0
+    # bytes that are no UTF-8
+    broken = spark.sql("SELECT 1L AS doc_id, cast(X'61FF20FE62' AS string) AS text")
+    assert toxicity.score(broken, model).count() == licenses.scan(broken).count() == simhash.near_duplicates(broken).count() == 1
+    assert lm.score_documents(broken, F.lit(True)).first().n_tokens == 3 and packing.pack(broken, vocabulary("word_bpe_49k.json")).count() == 1
+
+
 def test_toxicity_edges(edges, none, toxic_docs):
     model = toxicity.fit(toxic_docs, toxic_docs, F.lit(True))
     got = toxicity.score(edges, model)
@@ -454,6 +476,65 @@ def test_decontamination_finds_copies_and_paraphrases(spark, none):
     assert decontamination.contaminated(df, bench.limit(0)).count() == 0 and decontamination.keep_clean(none, bench).count() == 0
 
 
+def test_candidates_equal_all_passages_compared(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "ITEMS", 5)  # several latent spaces
+    rng = random.Random(14)
+    vocab = ["".join(rng.choice("aeioukstrn") for _ in range(rng.randint(2, 5))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choices(vocab, range(300, 0, -1), k=n))
+    items = [decontamination.Item(i, decontamination.words_of(text(rng.choice([14, 25, 45])).encode())) for i in range(12)]
+    docs = [text(rng.randint(1, 200)) for _ in range(60)]
+    for i, item in enumerate(items):  # a part of the item's words
+        docs[i] += " " + " ".join(w.decode() if rng.random() < 0.75 else rng.choice(vocab) for w in item.words)
+    index = decontamination.build_index(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), items, rank=10)
+    for cosine in (0.3, 0.5, 0.7):
+        want = set()
+        for d, x in enumerate(docs):
+            words = decontamination.words_of(x.encode())
+            ids = index.ids(words)
+            for space in index.spaces:
+                for k, item in enumerate(space.items):
+                    length = decontamination.passage_length(len(item.words))
+                    for s in decontamination.starts(len(words), length).tolist():
+                        own, weight = index.vector(ids[s : s + length])
+                        close = weight @ space.weights[space.row[own], k] / np.sqrt((index.idf[ids[s : s + length]] ** 2).sum())
+                        span = words[max(0, s - length // 2) : min(len(words), s + length) + length // 2]
+                        enough = max(0.6 * len(item.words), min(len(item.words), 8)) <= decontamination.common_subsequence(item.words, span)
+                        if close >= cosine and enough and decontamination.common_subsequence(item.answer, span) >= 0.5 * len(item.answer):
+                            want.add((d, item.item_id))
+        found = decontamination.search([x.encode() for x in docs], index, cosine, 0.6)
+        assert {(d, x[0].item_id) for d, own in enumerate(found) for x in own} == want and (want or cosine > 0.5)
+
+
+def test_latent_space_finds_what_words_alone_miss(spark, monkeypatch):
+    rng = random.Random(15)
+    common = [f"common{i}" for i in range(30)]
+    pairs = [(f"first{i}", f"second{i}") for i in range(60)]  # words that come together
+    docs = []
+    for _ in range(200):
+        own = rng.sample(pairs, 5)
+        docs.append(" ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(rng.choice(own)) for _ in range(64)))
+    items, changed = [], []
+    for _ in range(8):
+        own = rng.sample(pairs, 7)
+        first = [rng.choice(common) for _ in range(13)]
+        at = sorted(rng.sample(range(14), 7))
+        mixed = [list(first), list(first)]
+        for place, pair in zip(at, own):
+            for side in (0, 1):
+                mixed[side].insert(place, pair[side])
+        items.append(" ".join(mixed[0]))
+        changed.append(" ".join(mixed[1]))
+    df = spark.createDataFrame([*enumerate(docs), *enumerate(changed, 1000)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = lambda: {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, bench).collect()}
+    want = {(1000 + i, i) for i in range(8)}
+    monkeypatch.setattr(decontamination, "RANK", 60)
+    monkeypatch.setattr(decontamination, "ITEM_WEIGHT", 1.0)
+    assert want <= (got := set(found())) and len(got) <= 10
+    monkeypatch.setattr(decontamination, "singular_basis", lambda passages, own, column, rank: np.eye(int(column.max()) + 1, dtype=np.float32))
+    assert not want & found()
+
+
 # --- 9 quality -----------------------------------------------------------------------------------
 
 
@@ -476,6 +557,44 @@ def test_quality_co_training(spark, edges, none):
     assert quality.score(edges, unfit).agg(F.min("score")).first()[0] == 1.0
 
 
+def test_co_training_beats_no_rounds_where_both_views_tell():
+    wrong = np.zeros(2, int)
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        y = (rng.random(3000) < 0.7).astype(int)
+        content, page = rng.standard_normal((3000, 40)), rng.standard_normal((3000, 30))
+        content[:, :10] += np.where(y, 0.7, -0.7)[:, None]
+        page[:, :8] += np.where(y, 0.8, -0.8)[:, None]
+        label = np.where(np.arange(3000) < 90, y, -1)
+        for k, rounds in enumerate((0, 5)):
+            p = quality.co_train(content, page, label, rounds).probability(content[90:], page[90:])
+            wrong[k] += ((p >= 0.5) != (y[90:] > 0)).sum()
+    assert wrong[1] < wrong[0]
+
+
+def test_co_training_does_no_harm_where_a_view_tells_nothing():
+    rng = np.random.default_rng(3)
+    y = (rng.random(3000) < 0.8).astype(int)
+    content, page = rng.standard_normal((3000, 20)) + 1.5 * y[:, None], rng.standard_normal((3000, 30))
+    label = np.where(np.arange(3000) < 150, y, -1)
+    wrong = [((quality.co_train(content, page, label, rounds).probability(content[150:], page[150:]) >= 0.5) != (y[150:] > 0)).sum() for rounds in (0, 5)]
+    assert wrong[1] <= wrong[0] + 3
+
+
+def test_views_are_separate():
+    assert (quality.page_features("en", "s", 3) != quality.page_features("en", None, 3)).any() and quality.page_features(None, None, None).sum() == 0
+    assert len(quality.content_features(None)) == len(quality.content_features(LONG.encode()))
+
+
+def test_keep_good_without_or_with_other_metadata(spark, edges):
+    model = quality.co_train(*(np.random.default_rng(5).standard_normal((60, len(x))) for x in (quality.content_features(b""), quality.page_features(None, None, None))), np.arange(60) % 2)
+    kept = quality.keep_good(edges, model, threshold=0.0)
+    assert kept.columns == edges.columns and sorted(map(str, kept.collect())) == sorted(map(str, edges.collect()))
+    odd = spark.createDataFrame([(1, "a", "x", 7), (2, None, "y", None)], "doc_id int, text string, SOURCE string, n_chars int")
+    want = {r.doc_id for r in quality.score(odd, model).where("kept").collect()}
+    assert {r.doc_id for r in quality.keep_good(odd, model).collect()} == want and quality.keep_good(odd.limit(0), model).count() == 0
+
+
 # --- 10 language model ---------------------------------------------------------------------------
 
 
