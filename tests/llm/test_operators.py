@@ -493,10 +493,11 @@ def test_candidates_equal_all_passages_compared(spark, monkeypatch):
             ids = index.ids(words)
             for space in index.spaces:
                 for k, item in enumerate(space.items):
+                    weights = next(g[3][:, g[1].index(k)] for g in space.groups if k in g[1])
                     length = decontamination.passage_length(len(item.words))
                     for s in decontamination.starts(len(words), length).tolist():
                         own, weight = index.vector(ids[s : s + length])
-                        close = weight @ space.weights[space.row[own], k] / np.sqrt((index.idf[ids[s : s + length]] ** 2).sum())
+                        close = weight @ weights[space.row[own]] / np.sqrt((index.idf[ids[s : s + length]] ** 2).sum())
                         span = words[max(0, s - length // 2) : min(len(words), s + length) + length // 2]
                         enough = max(0.6 * len(item.words), min(len(item.words), 8)) <= decontamination.common_subsequence(item.words, span)
                         if close >= cosine and enough and decontamination.common_subsequence(item.answer, span) >= 0.5 * len(item.answer):
