@@ -6,7 +6,8 @@ fingerprint to its inner side if its Hamming distance to the vantage point is at
 the radius, else to the outer side. By the triangle bound two fingerprints within
 ``bits`` differ by at most ``bits`` in that distance, so one that lies within ``bits``
 of a boundary is also copied across it. Every pair within ``bits`` then meets in the
-home shard of one of the two: the search is exact whatever tree is drawn.
+home shard of one of the two: the search is exact whatever tree is drawn. Within a shard
+a tree of its own prunes branches by the same bound.
 
 Defined results: null or word-less text has fingerprint 0, linked like any other; a
 repeated row gets the same row of results each time; a null doc_id is never the
@@ -28,6 +29,8 @@ from .common import connected_components, cut, fresh, map_arrow, merge_labels, r
 CHUNK = 1 << 15
 #: Distinct fingerprints that a shard should hold at home, and the most leaves a tree gets.
 SHARD_ROWS, MOST_SHARDS, SAMPLE = 8192, 16384, 65536
+#: Fingerprints of a leaf within a shard.
+LEAF_ROWS = 256
 
 
 def fingerprint(data: bytes | None, shingle: int = 3) -> int:
@@ -100,12 +103,13 @@ def build_tree(sample: np.ndarray, leaves: int, bits: int) -> list[tuple]:
     return nodes
 
 
-def route(values: np.ndarray, nodes: list[tuple], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the value, shard, and whether the shard is its home, for every copy dealt."""
+def route(values: np.ndarray, nodes: list[tuple], bits: int, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the value, shard, and whether the shard is its home, for every copy dealt; ``home`` false where all are guests."""
     n = len(values)
+    home = np.ones(n, bool) if home is None else home
     if not nodes:
-        return np.arange(n), np.zeros(n, np.int32), np.ones(n, bool)
-    out, stack = [], [(0, np.arange(n), np.ones(n, bool))]
+        return np.arange(n), np.zeros(n, np.int32), home
+    out, stack = [], [(0, np.arange(n), home)]
     while stack:
         at, index, home = stack.pop()
         if not len(index):
@@ -125,16 +129,26 @@ def route(values: np.ndarray, nodes: list[tuple], bits: int) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def shard_links(values: np.ndarray, home: np.ndarray, bits: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links of a shard: ``(value, root value)`` where they differ."""
+def shard_links(values: np.ndarray, home: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of a shard: ``(value, root value)`` where they differ.
+
+    The shard has a tree of its own, down to leaves of about ``LEAF_ROWS``: a branch that the
+    triangle bound rules out for a fingerprint is never compared with it.
+    """
     labels = np.arange(len(values))
-    own = np.flatnonzero(home)
-    for at in range(0, len(own), block):
-        rows = own[at : at + block]
-        i, j = np.nonzero(np.bitwise_count(values[rows][:, None] ^ values[None, :]) <= bits)
-        i = rows[i]
-        if len(i) > len(rows):
-            labels = merge_labels(labels, i, j)
+    drawn = values if len(values) <= SAMPLE else values[np.random.default_rng(5).choice(len(values), SAMPLE, replace=False)]
+    nodes = build_tree(drawn, max(1, len(values) // LEAF_ROWS), bits) if len(values) > 2 * LEAF_ROWS else []
+    index, leaf, own = route(values, nodes, bits, home)
+    order = np.argsort(leaf, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+        members, mine = index[part], index[part[own[part]]]
+        for at in range(0, len(mine), LEAF_ROWS):
+            rows = mine[at : at + LEAF_ROWS]
+            i, j = np.nonzero(np.bitwise_count(values[rows][:, None] ^ values[members][None, :]) <= bits)
+            i, j = rows[i], members[j]
+            other = i != j
+            if other.any():
+                labels = merge_labels(labels, i[other], j[other])
     moved = np.flatnonzero(labels != np.arange(len(values)))
     return values[moved], values[labels[moved]]
 
