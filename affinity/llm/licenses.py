@@ -13,7 +13,9 @@ are ignored.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 
 import ahocorasick
 import pyarrow as pa
@@ -60,7 +62,7 @@ class Scanner:
 
     def __init__(self, notices: list[tuple[str, str, int]] = NOTICES) -> None:
         self.notices = notices
-        self.patterns = [regex.compile(rf"(?<![^ ])(?b:(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}})(?![^ ])") for text, _, k in notices]
+        self.patterns = [regex.compile(rf"(?<![^ ])(?e:(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}})(?![^ ])") for text, _, k in notices]
         self.seeds = ahocorasick.Automaton()
         found: dict[str, list[tuple[int, int]]] = {}
         for i, (text, _, k) in enumerate(notices):
@@ -115,7 +117,8 @@ def scan_text(data: bytes | None, scan: Scanner) -> dict:
     text = b" ".join(words).decode(errors="replace")
     at = [(p, label) for phrase, label in PHRASES.items() for p in phrase_places(text, phrase)]
     fuzzy = scan.places(text)
-    word = lambda p: text.count(" ", 0, p)
+    begins = list(itertools.accumulate((len(w) + 1 for w in text.split(" ")), initial=0)) if at or fuzzy else []
+    word = lambda p: bisect.bisect_right(begins, p) - 1
     spans = [(scan.notices[i][1], word(a), word(max(a, b - 1)), edits) for i, a, b, edits in fuzzy]
     base, labels = {x for _, x in at}, {x for _, x in at} | {x[0] for x in spans}
     # a base phrase is certain; a fuzzy one counts by the share of its characters that stand unedited
