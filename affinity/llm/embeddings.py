@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, cut, map_arrow, merge_labels, shuffle_partitions
 
-#: Rows of a comparison block when links are counted.
-COUNT_ROWS = 1024
+#: Rows of a comparison block when links are counted: of those asked for, and of their component.
+COUNT_ROWS, AGAINST_ROWS = 1024, 8192
 #: Vectors of a stripe when crowded ones are compared exactly.
 STRIPE_ROWS = 4096
 #: Keeps rounding out of the counted (not compared) core of a component.
@@ -87,6 +87,12 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return rows, cut(rows.where(F.length("v") == size).groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))), size // 8
 
 
+def joined(first: pa.RecordBatch, second: pa.RecordBatch) -> pa.RecordBatch:
+    """Both batches as one; an error, never a loss, where a column would pass what one may hold."""
+    (out,) = pa.Table.from_batches([first, second]).combine_chunks().to_batches()
+    return out
+
+
 def forest(m: np.ndarray, passes: np.ndarray, own: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Places ``(i, root)`` of a spanning forest of the links of the last ``own`` rows with all rows."""
     close = m[-own:] @ m.T >= threshold
@@ -105,19 +111,19 @@ def shared_bits(pass_a: np.ndarray, key_a: np.ndarray, pass_b: np.ndarray, key_b
     return np.where(pass_a == pass_b, 64 - np.bitwise_count(differ).astype(np.int32), -1).astype(np.int32)
 
 
-def windows(nodes: DataFrame, dim: int, threshold: float, window: int, passes: int, begin: int = 0) -> tuple[DataFrame, DataFrame]:
-    """``(a, b)`` links that span those found in all passes; and ``(node, pass, bits)`` shared with the rows ``window`` places away. Passes are numbered from ``begin``."""
-    planes = np.random.default_rng(20 + begin).standard_normal((passes, dim, 64))
+def windows(nodes: DataFrame, dim: int, threshold: float, window: int, passes: int, number: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)`` links that span those found in all passes; and ``(node, pass, bits)`` shared with the rows ``window`` places away. Passes are numbered from ``number``."""
+    planes = np.random.default_rng(20 + number).standard_normal((passes, dim, 64))
 
-    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, v = batch.column(0), batch.column(1)
-        m = unit(v.to_pylist(), dim)
-        out = []
-        for p in range(passes):
-            bits = np.packbits(m @ planes[p] > 0, axis=1)
-            key = bits.view(">u8").reshape(-1).astype(np.uint64) ^ np.uint64(1 << 63)  # unsigned order for signed longs
-            out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(m), begin + p, np.int32)), pa.array(key.view(np.int64)), node, v], names=["pass", "key", "node", "v"]))
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+    def keys(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 2048):
+                part = batch.slice(begin, 2048)
+                m = unit(part.column(1).to_pylist(), dim)
+                for p in range(passes):
+                    bits = np.packbits(m @ planes[p] > 0, axis=1)
+                    key = bits.view(">u8").reshape(-1).astype(np.uint64) ^ np.uint64(1 << 63)  # unsigned order for signed longs
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), number + p, np.int32)), pa.array(key.view(np.int64)), *part.columns], names=["pass", "key", "node", "v"])
 
     def crowding(near: pa.RecordBatch, far: pa.RecordBatch) -> pa.RecordBatch:
         """Of rows ``window`` places apart: what each of both shares with the other."""
@@ -133,7 +139,7 @@ def windows(nodes: DataFrame, dim: int, threshold: float, window: int, passes: i
 
         def compare(block: pa.RecordBatch):
             nonlocal before
-            both = block if before is None else pa.Table.from_batches([before, block]).combine_chunks().to_batches()[0]
+            both = block if before is None else joined(before, block)
             node, passed = (both.column(k).to_numpy(zero_copy_only=False) for k in (2, 0))
             i, root = forest(unit(both.column(3).to_pylist(), dim), passed, block.num_rows, threshold)
             if before is not None:
@@ -151,7 +157,7 @@ def windows(nodes: DataFrame, dim: int, threshold: float, window: int, passes: i
             return row(block.column(2), block.column(0), border=pa.array(np.full(n, at, np.int32)), place=place, key=block.column(1), v=block.column(3))
 
         for batch in batches:
-            rest = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            rest = batch if rest is None else joined(rest, batch)
             while rest.num_rows >= window:
                 block, rest = rest.slice(0, window), rest.slice(window)
                 if first:
@@ -162,7 +168,7 @@ def windows(nodes: DataFrame, dim: int, threshold: float, window: int, passes: i
             if first:
                 yield border(rest, task, 0)
             # the last block is short: the one before it goes along, so that the window holds
-            last = rest if before is None else pa.Table.from_batches([before, rest]).combine_chunks().to_batches()[0]
+            last = rest if before is None else joined(before, rest)
             yield from compare(rest)
             yield border(last, task + 1, -last.num_rows)
         elif before is not None:
@@ -183,7 +189,7 @@ def windows(nodes: DataFrame, dim: int, threshold: float, window: int, passes: i
 
     n = nodes.count() * passes
     parts = max(1, min(4 * shuffle_partitions(nodes.sparkSession), n // (8 * window)))
-    dealt = map_arrow(nodes.select("node", "v"), keys, "pass int, key long, node long, v binary", rows=2048)
+    dealt = nodes.select("node", "v").mapInArrow(keys, "pass int, key long, node long, v binary")
     ordered = dealt.repartitionByRange(parts, "pass", "key", "node").sortWithinPartitions("pass", "key", "node")
     found = cut(ordered.mapInArrow(sweep, "a long, b long, border int, pass int, bits int, place int, key long, v binary"))
     met = cut(found.where("border is not null").select("a", "pass", "key", "place", "v", "border").groupBy("border").applyInArrow(meet, "a long, b long, pass int, bits int"))
@@ -271,12 +277,13 @@ def count_links(members: DataFrame, dim: int, threshold: float) -> DataFrame:
     core = placed.where("core").groupBy("component").agg(F.sum("weight").alias("all"))
     counted = placed.where("core").join(core, "component").select("node", (F.col("all") - F.col("weight")).alias("n"))
 
-    # what lies outside of a core is compared: in blocks of some rows against blocks of the component
-    outside = placed.where("not core").groupBy("component").agg(F.count("*").alias("out"))
-    spread = placed.join(outside, "component").withColumn("q", F.pmod(F.xxhash64("node"), F.ceil(F.col("out") / COUNT_ROWS)))
-    asked = spread.where("not core").select("component", "q", F.col("node").alias("n1"), F.col("v").alias("v1"), F.col("weight").alias("w1"))
-    blocks = F.explode(F.sequence(F.lit(0), F.ceil(F.col("out") / COUNT_ROWS) - 1))
-    against = spread.select(F.col("component").alias("c2"), blocks.alias("q2"), F.col("node").alias("n2"), F.col("v").alias("v2"), F.col("weight").alias("w2"), F.col("core").alias("core2"))
+    # what lies outside of a core is compared: blocks of these rows, each with every block of the component
+    outside = placed.groupBy("component").agg(F.count_if(~F.col("core")).alias("out"), F.count("*").alias("size")).where("out > 0")
+    asked_blocks, against_blocks = F.ceil(F.col("out") / COUNT_ROWS), F.ceil(F.col("size") / AGAINST_ROWS)
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    spread = placed.join(outside, "component")
+    asked = spread.where("not core").select("component", F.pmod(F.xxhash64("node"), asked_blocks).alias("q"), each(against_blocks).alias("r"), F.col("node").alias("n1"), F.col("v").alias("v1"), F.col("weight").alias("w1"))
+    against = spread.select(F.col("component").alias("c2"), each(asked_blocks).alias("q2"), F.pmod(F.xxhash64("node"), against_blocks).alias("r2"), F.col("node").alias("n2"), F.col("v").alias("v2"), F.col("weight").alias("w2"), F.col("core").alias("core2"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -292,7 +299,7 @@ def count_links(members: DataFrame, dim: int, threshold: float) -> DataFrame:
         back = core & (theirs > 0)  # a core vector learns of its links outside here alone
         return pa.table({"node": pa.array(np.concatenate([n1, n2[back]])), "n": pa.array(np.concatenate([mine, theirs[back]]))})
 
-    compared = asked.groupBy("component", "q").cogroup(against.groupBy("c2", "q2")).applyInArrow(compare, "node long, n long")
+    compared = asked.groupBy("component", "q", "r").cogroup(against.groupBy("c2", "q2", "r2")).applyInArrow(compare, "node long, n long")
     return counted.union(compared).groupBy("node").agg(F.sum("n").alias("n"))
 
 
@@ -307,7 +314,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, window: int = 2
     links, shared = windows(nodes, dim, threshold, window, passes)
     if n > window:
         rest = cut(nodes.join(crowded(nodes, shared, threshold, miss), "node").select("node", "v"))
-        again, shared_again = windows(rest, dim, threshold, window, passes // 3 + 1, begin=passes)
+        again, shared_again = windows(rest, dim, threshold, window, passes // 3 + 1, number=passes)
         rest = cut(rest.join(crowded(rest, shared.union(shared_again), threshold, miss), "node"))
         links = links.union(again)
     graph = cut(connected_components(links))

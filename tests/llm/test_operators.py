@@ -206,6 +206,8 @@ def test_embeddings_in_a_dense_region_equal_brute_force(spark, monkeypatch):
     m = np.concatenate([base, cone, near])
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
     monkeypatch.setattr(embeddings, "STRIPE_ROWS", 500)  # several stripes
+    monkeypatch.setattr(embeddings, "COUNT_ROWS", 16)  # several blocks of a component
+    monkeypatch.setattr(embeddings, "AGAINST_ROWS", 8)
     got = {r.vec_id: r for r in embeddings.near_duplicates(df, window=32).collect()}
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     close = u @ u.T >= 0.95
@@ -227,7 +229,8 @@ def test_fingerprint_is_the_majority_of_shingle_hashes():
 
 
 @pytest.mark.parametrize("leaves", [1, 4, 32])
-def test_shards_find_every_link(leaves):
+def test_shards_find_every_link(leaves, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 40)  # shards have trees of their own
     rng = np.random.default_rng(leaves)
     v = rng.integers(0, 2**63, 1500, dtype=np.uint64)
     near = v[:300] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
@@ -292,6 +295,11 @@ def test_pigeonhole_misses_no_edit():
             assert label in found["labels"].split(","), (text, "".join(letters))
 
 
+def test_every_copy_of_a_notice_is_a_span():
+    got = licenses.scan_text(b"all rigts reserved all rights reserved, all rigts reserved x", licenses.scanner())
+    assert [(a, b) for label, a, b, _ in got["spans"] if label == "reserved"] == [(0, 2), (3, 5), (6, 8)]
+
+
 def test_license_rows(edges, none):
     got = {r.doc_id: r for r in licenses.scan(edges).collect()}
     assert licenses.scan(edges).count() == len(EDGES) and got[5].n_words == 80_000 and got[2].n_words == 0 and got[6].n_words == 4
