@@ -20,6 +20,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--partitions", type=int, default=None, help="input partitions at least")
         p.add_argument("--shuffle-partitions", type=int, default=None)
         p.add_argument("--count-results", action="store_true")
+        p.add_argument("--persist-final", action="store_true", help="keep the final pairs in memory and on disk while they are written and counted")
+        p.add_argument("--ordered", action="store_true", help="pairs in order within each file")
+        p.add_argument("--summary", action="store_true", help="print the counters of every step")
         p.add_argument("--stages", default=None, help="folder for posting lists and scores")
         p.add_argument("--app-name", default="affinity")
         for f in fields(EngineConfig):
@@ -65,9 +68,16 @@ def main(argv: list[str] | None = None) -> int:
         else:
             if args.shuffle_partitions:
                 spark.conf.set("spark.sql.shuffle.partitions", args.shuffle_partitions)
-            pipelines.run_counts(spark, args.input, args.output, cfg, args.partitions) if args.command == "counts" else pipelines.run_top(spark, args.input, args.output, cfg, args.stages)
+            if args.command == "counts":
+                done = pipelines.run_counts(spark, args.input, args.output, cfg, args.partitions, args.persist_final or args.count_results, args.ordered)
+            else:
+                done = pipelines.run_top(spark, args.input, args.output, cfg, args.stages)
             if args.count_results:
-                print(f"{spark.read.text(args.output).count()} lines written")
+                # pairs are kept; lists of users are counted where they were written
+                print(f"{done.count() if args.command == 'counts' else spark.read.text(args.output).count()} lines written")
+            if args.summary:
+                for name, n in pipelines.summary(spark, args.input, cfg).items():
+                    print(f"{name.upper()}={n}")
         print(f"{time.time() - started:.1f} s")
         return 0
     except pipelines.SourceTooSmall as e:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: the constants of SplitMix64, below
 #: What counts as white space around a field; the plain trim takes spaces only.
 BLANKS = " \t\r\n\x0b\x0c"
 
@@ -30,6 +31,26 @@ def potential_pairs(n: str) -> Column:
     return F.expr(f"cast({n} * ({n} - 1) div 2 as bigint)")
 
 
+# fixed values: the stored codes of behaviors
+BEHAVIOR_CODES = {"buy": 1, "pv": 2}
+
+
+def behavior_code(name: Column) -> Column:
+    """The code of a behavior's name, null for one that has none."""
+    out = F.lit(None).cast("tinyint")
+    for known, code in BEHAVIOR_CODES.items():
+        out = F.when(name == known, F.lit(code).cast("tinyint")).otherwise(out)
+    return out
+
+
+def behavior_name(code: Column) -> Column:
+    """The name of a behavior's code; any other code, and none, is "unknown"."""
+    out = F.lit("unknown")
+    for name, known in BEHAVIOR_CODES.items():
+        out = F.when(code == known, F.lit(name)).otherwise(out)
+    return out
+
+
 def is_finite(c: Column) -> Column:
     return ~F.isnan(c) & (F.abs(c) < float("inf"))
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig, SamplerConfig
-from ..operators import pairs, postings, ranking, sampler
+from ..operators import metrics, pairs, postings, ranking, sampler
 from ..sources import readers, writers
 
 
@@ -31,12 +30,30 @@ def similar_users(obs: DataFrame, cfg: EngineConfig | None = None) -> DataFrame:
     return ranking.top_k(ranking.directed(pair_scores(obs, cfg)), cfg.top_k)
 
 
-def run_counts(spark: SparkSession, source: str, target: str, cfg: EngineConfig, min_partitions: int | None = None) -> DataFrame:
-    """Lines in, ``u1,u2<TAB>buy,pv`` lines out; returns the pairs."""
+def run_counts(spark: SparkSession, source: str, target: str, cfg: EngineConfig, min_partitions: int | None = None, persist: bool = False, ordered: bool = False) -> DataFrame:
+    """Lines in, ``u1,u2<TAB>buy,pv`` lines out; returns the pairs, kept for further use where ``persist`` is set."""
     writers.guard(source, target)
     obs = readers.observations(readers.parse(readers.read_lines(spark, source, min_partitions), cfg))
     out = pair_counts(obs, cfg)
-    writers.write_pairs(out, target, cfg.overwrite)
+    out = out.persist() if persist else out
+    writers.write_pairs(out, target, cfg.overwrite, ordered)
+    return out
+
+
+def summary(spark: SparkSession, source: str, cfg: EngineConfig) -> dict[str, int]:
+    """The counters of every step of ``run_top`` over ``source``, by name."""
+    parsed = readers.parse(readers.read_lines(spark, source), cfg)
+    obs = readers.observations(parsed)
+    degree = postings.degrees(postings.edges(obs))
+    contributions = pairs.hybrid_pairs(obs, cfg)
+    scored = ranking.scores(pairs.count_pairs(contributions), cfg)
+    passing = ranking.passing_scores(scored, cfg)
+    out = {f"records_{r.status.lower()}": r.records for r in metrics.parse_counts(parsed).orderBy("status").collect()}
+    out |= metrics.posting_counts(degree, cfg).first().asDict()
+    for r in metrics.pairing_counts(postings.pair_plan(degree, cfg), contributions).orderBy("behavior").collect():
+        out |= {f"{r.behavior}_{name}": n for name, n in r.asDict().items() if name != "behavior"}
+    for counts in (metrics.score_counts(scored, cfg), metrics.candidate_counts(passing), metrics.top_counts(ranking.directed(passing), cfg.top_k)):
+        out |= counts.first().asDict()
     return out
 
 
@@ -59,6 +76,10 @@ class SourceTooSmall(RuntimeError):
     """The whole source is below the minimum size."""
 
 
+class SizeOutOfRange(RuntimeError):
+    """What was written is smaller or larger than asked for."""
+
+
 @dataclass
 class Sampled:
     report: dict
@@ -68,7 +89,7 @@ class Sampled:
 def run_sampler(spark: SparkSession, source: str, target: str, cfg: SamplerConfig, overwrite: bool = False) -> Sampled:
     """Shrink a five-column CSV to the byte budget, whole users only, with a report beside the output.
 
-    The size is checked before anything is published.
+    The projected size is checked before anything is published, the written one afterwards.
     """
     writers.guard(source, target)
     cfg.validate()
@@ -80,12 +101,15 @@ def run_sampler(spark: SparkSession, source: str, target: str, cfg: SamplerConfi
     selection = sampler.select_users(events, cfg)
     kept = sampler.keep_users(events, selection.users)
     writers.write_events(kept, target, cfg.write_header, overwrite)
+    size = writers.written_bytes(spark, target)
+    if not cfg.min_bytes <= size <= cfg.max_bytes:
+        raise SizeOutOfRange(f"{size} bytes were written, not {cfg.min_bytes} to {cfg.max_bytes}")
     report = {
         "input": source, "output": target, "source_had_header": header, "output_has_header": cfg.write_header, "seed": cfg.seed,
         "valid_source_rows": facts.rows, "source_users": facts.users, "selected_users": selection.composition["total_selected_users"], "rows_written": kept.count(),
-        "actual_output_bytes": selection.used, "actual_output_gb": selection.used / 1e9,
+        "actual_output_bytes": size, "actual_output_gb": size / 1e9,
         "requested_min_gb": cfg.min_bytes / 1e9, "requested_target_gb": cfg.target_bytes / 1e9, "requested_max_gb": cfg.max_bytes / 1e9,
         "thresholds": selection.limits, "composition": selection.composition, "job1_deduplication_preserved": True,
     }
-    writers.write_report(report, os.path.normpath(target) + ".report.json")
+    writers.write_report(spark, report, target.rstrip("/") + ".report.json")
     return Sampled(report, selection)

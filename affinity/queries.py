@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import EngineConfig, SamplerConfig
-from .functions.columns import stable_hash_hex
+from .functions.columns import behavior_code, behavior_name, stable_hash_hex
 from .operators import metrics, pairs, postings, ranking, sampler
 from .operators.lineage import cut
 from .plans import pipelines
@@ -158,7 +158,13 @@ def composition(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(sorted(selection(s, d).composition.items()), "name string, value long")
 
 
+def behavior_codes(s: SparkSession, d: str) -> DataFrame:
+    named = table(s, d, "events").select(behavior().alias("behavior")).withColumn("code", behavior_code(F.col("behavior")).cast("int"))
+    return named.groupBy("behavior", "code").agg(F.count("*").alias("n")).withColumn("name", behavior_name(F.col("code")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "behavior_codes": behavior_codes,
     "parse_observations": lambda s, d: readers.observations(parsed(s, d)),
     "parse_status_counts": lambda s, d: metrics.parse_counts(parsed(s, d)),
     "parse_custom_layout": lambda s, d: readers.parse(lines(s, d, "|"), EngineConfig(delimiter="|", user_index=1, item_index=0)),
@@ -290,6 +296,7 @@ def sampler_sql() -> str:
 SAMPLER = sampler_sql()
 
 ORACLES: dict[str, str] = {
+    "behavior_codes": f"SELECT {BEH} AS behavior, CASE {BEH} WHEN 'buy' THEN 1 WHEN 'pv' THEN 2 END AS code, CASE {BEH} WHEN 'buy' THEN 'buy' WHEN 'pv' THEN 'pv' ELSE 'unknown' END AS name, count(*) AS n FROM events GROUP BY ALL",
     "parse_observations": f"WITH {PARSED} SELECT user_id, item_id, behavior FROM parsed WHERE status IN ('BUY', 'PV')",
     "parse_status_counts": f"WITH {PARSED} SELECT status, count(*) AS records FROM parsed GROUP BY status",
     "parse_custom_layout": f"WITH {parsed_sql('|', 1, 0, False)} SELECT * FROM parsed",

@@ -113,3 +113,41 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["top", str(log), out, "--top-k", "0"]) == 2
     assert cli.main(["nothing"]) == 2
     assert cli.main(["sample", "--input", str(log), "--output", str(tmp_path / "s"), "--header", "no"]) == 3
+
+
+def test_summary_persist_and_order(spark, tmp_path, capsys):
+    log, out = tmp_path / "log.txt", str(tmp_path / "pairs")
+    log.write_text("1,10,buy\n2,10,buy\n3,10,buy\n2,20,pv\n1,20,pv\nx,1,buy\n")
+    assert cli.main(["counts", str(log), out, "--persist-final", "--ordered", "--count-results", "--summary"]) == 0
+    said = dict(x.split("=") for x in capsys.readouterr().out.splitlines() if "=" in x)
+    want = {"RECORDS_BUY": 3, "RECORDS_INVALID": 1, "BUY_POSTING_LISTS": 1, "BUY_GENERATED": 3, "PV_GENERATED": 1, "EMITTED_PAIRS": 3, "DIRECTED_CANDIDATES": 6, "USERS_EMITTED": 3}
+    assert {k: int(said[k]) for k in want if k in said} == {k: v for k, v in want.items() if k in said} and len(set(want) & set(said)) >= 7, said
+    for f in (tmp_path / "pairs").glob("part-*"):
+        pairs = [tuple(map(int, x.split("\t")[0].split(","))) for x in f.read_text().splitlines()]
+        assert pairs == sorted(pairs)
+
+
+def test_written_size_is_checked(spark, tmp_path):
+    path, out = tmp_path / "in.csv", str(tmp_path / "out")
+    path.write_text("".join(f"{u},{i},0,{'buy' if i % 2 else 'fav'},{100 + i}\n" for u in range(1, 60) for i in range(u % 7 + 2)))
+    projected = pipelines.run_sampler(spark, str(path), out, SamplerConfig(2000, 1800, 2200)).report["actual_output_bytes"]
+    # the header lines, which the projection leaves out, pass the largest size
+    with pytest.raises(pipelines.SizeOutOfRange):
+        pipelines.run_sampler(spark, str(path), str(tmp_path / "more"), SamplerConfig(projected, 1800, projected + 10, write_header=True))
+
+
+def test_places_in_other_file_systems(spark, tmp_path):
+    for a, b in (("hdfs://n/a/b", "hdfs://n/a/./b/"), ("file:///a/b", "/a/b"), ("file:/a//b", "/a/b")):
+        with pytest.raises(ValueError, match="different"):
+            writers.guard(a, b)
+    writers.guard("hdfs://n/a", "hdfs://m/a", "/a")
+    writers.write_report(spark, {"a": 1}, f"file://{tmp_path}/r.json")
+    assert json.loads((tmp_path / "r.json").read_text()) == {"a": 1}
+
+
+def test_behavior_codes(spark):
+    from affinity.functions.columns import behavior_code, behavior_name
+
+    df = spark.createDataFrame([("buy", 1), ("pv", 2), ("fav", 3), (None, None)], "name string, code int")
+    got = df.select(behavior_code(df.name), behavior_name(df.code)).collect()
+    assert [tuple(r) for r in got] == [(1, "buy"), (2, "pv"), (None, "unknown"), (None, "unknown")]
