@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,20 +61,31 @@ PUNCTUATION = re.compile(r"[.,;:!?、。，！？]")
 @dataclass
 class Block:
     text: str
-    path: str
-    parents: tuple[int, ...]
-    tag: str
+    element: int  # number of the element that holds it
     links: int
-    marked: tuple[int, ...] = ()
 
 
 @dataclass
 class Element:
     tag: str
     number: int
-    name: str
     dropped: bool
-    marked: tuple[int, ...] = ()
+    inside: bool  # of an article or main element
+
+
+@dataclass
+class Page:
+    """Blocks outside of dropped elements in page order, and the elements by number, parents first.
+
+    ``up`` is an element's parent, ``path`` the number of its path of tags from the root, and
+    ``mark`` the nearest element from it upwards that class or id name as something else (-1: none).
+    """
+
+    blocks: list[Block]
+    tag: list[str]
+    up: list[int]
+    path: list[int]
+    mark: list[int]
 
 
 def is_named(tag: str, attributes: str, inside: bool) -> bool:
@@ -102,18 +114,19 @@ def is_marked(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
-    """The page's blocks outside of dropped elements, and the tag of every element by number."""
-    stack = [Element("", 0, "", False)]
-    tags, out, buffer = {0: ""}, [], []
-    at = links = number = 0
+def read_page(page: str) -> Page:
+    """One linear scan: what an element needs of those around it, it takes from its parent."""
+    stack = [Element("", 0, False, False)]
+    out, buffer = Page([], [""], [-1], [0], [-1]), []
+    paths: dict[tuple[int, str], int] = {}
+    at = links = 0
     in_link = False
 
     def flush() -> None:
         nonlocal links
         if buffer:
             if not stack[-1].dropped and (text := " ".join("".join(buffer).split())):
-                out.append(Block(text, "/".join(e.name for e in stack), tuple(e.number for e in stack), stack[-1].tag, links, stack[-1].marked))
+                out.blocks.append(Block(text, stack[-1].number, links))
             buffer.clear()
         links = 0
 
@@ -125,10 +138,16 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
             if in_link:
                 links += len(text)
 
+    # how many elements of each kind are open: an end tag without its start is told at once
+    opened: Counter = Counter()
+
     def close(names, bound=frozenset()) -> None:
+        if not any(opened[x] for x in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
                 flush()
+                opened.subtract(e.tag for e in stack[i:])
                 del stack[i:]
                 return
             if stack[i].tag in bound:
@@ -171,23 +190,26 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, str]]:
             in_link = False
             if tag in VOID or m[3].endswith("/>") and tag not in CLOSES_P:
                 continue
-            number += 1
-            tags[number] = tag
-            inside = any(e.tag in ("article", "main") for e in stack)
-            marked = stack[-1].marked + ((number,) if is_named(tag, m[3], inside) else ())
-            stack.append(Element(tag, number, tag, stack[-1].dropped or is_marked(tag, m[3], inside), marked))
+            above = stack[-1]
+            number = len(out.tag)
+            out.tag.append(tag)
+            out.up.append(above.number)
+            out.path.append(paths.setdefault((out.path[above.number], tag), len(paths) + 1))
+            out.mark.append(number if is_named(tag, m[3], above.inside) else out.mark[above.number])
+            opened[tag] += 1
+            stack.append(Element(tag, number, above.dropped or is_marked(tag, m[3], above.inside), above.inside or tag in ("article", "main")))
     else:
         add(page[at:])
     flush()
-    return out, tags
+    return out
 
 
-def path_ratios(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+def path_ratios(page: Page, blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     """For each block the ratio of its path, smoothed over the page; and that of its path were there no links."""
     size = np.array([len(b.text) for b in blocks], float)
     marks = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], float)
     links = np.minimum(np.array([b.links for b in blocks], float), size)
-    _, path = np.unique([b.path for b in blocks], return_inverse=True)
+    _, path = np.unique([page.path[b.element] for b in blocks], return_inverse=True)
     nodes, chars, points, linked = (np.bincount(path, x) for x in (np.ones_like(size), size, marks, links))
     plain = chars / nodes * (1 + np.log1p(points / nodes))
     ratio = plain * (1 - linked / chars) ** 2
@@ -197,60 +219,80 @@ def path_ratios(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(near * (1 - links / size), ratio[path]), plain[path]
 
 
-def without_marked(blocks: list[Block], tags: dict[int, str], share: float = 0.5) -> list[Block]:
+def added_up(page: Page, blocks: list[Block], values) -> np.ndarray:
+    """By element: the values of the blocks in it, at any depth."""
+    out = np.zeros(len(page.tag))
+    for b, x in zip(blocks, values):
+        out[b.element] += x
+    for p in range(len(out) - 1, 0, -1):
+        out[page.up[p]] += out[p]
+    return out
+
+
+def nearest(page: Page, chosen: set[int]) -> list[int]:
+    """By element: the nearest of the chosen ones from it upwards, -1 for none."""
+    out = []
+    for p, up in enumerate(page.up):
+        out.append(p if p in chosen else out[up] if up >= 0 else -1)
+    return out
+
+
+def without_marked(page: Page, share: float = 0.5) -> list[Block]:
     """The blocks outside of elements that class or id name as something else.
 
     Such a name is not believed where the element holds the page's articles (none lies outside),
     or, on a page without, where it holds most of the text on paths without links.
     """
-    if not any(b.marked for b in blocks):
+    blocks = page.blocks
+    if all(page.mark[b.element] < 0 for b in blocks):
         return blocks
-    boxes = {k: {p for b in blocks for p in b.parents if tags[p] == k} for k in ("article", "main")}
-    boxes = boxes["article"] or boxes["main"]
-    ratio, _ = path_ratios(blocks)
-    text = np.array([len(b.text) for b in blocks], float) * (ratio > 0)
-    held: dict[int, float] = {}
-    for b, x in zip(blocks, text):
-        for p in b.marked:
-            held[p] = held.get(p, 0.0) + x
+    some = added_up(page, blocks, [1] * len(blocks))
+    boxes = {p for p, t in enumerate(page.tag) if t == "article" and some[p]} or {p for p, t in enumerate(page.tag) if t == "main" and some[p]}
+    spared: set[int] = set()
     if boxes:
-        # marks around the article: each box's marked parents, unless a box has none
-        around = [set(b.marked[: sum(q < box for q in b.marked)]) for b in blocks for box in boxes.intersection(b.parents)]
-        spared = set.union(*around) if all(around) else set()
+        # marks around the articles, unless one has none around it
+        if all(page.mark[page.up[p]] >= 0 for p in boxes):
+            for p in boxes:
+                mark = page.mark[page.up[p]]
+                while mark >= 0 and mark not in spared:
+                    spared.add(mark)
+                    mark = page.mark[page.up[mark]]
     else:
-        spared = {p for p, x in held.items() if x > share * text.sum()}
-    kept = [b for b in blocks if spared.issuperset(b.marked)]
+        ratio, _ = path_ratios(page, blocks)
+        held = added_up(page, blocks, [len(b.text) * (r > 0) for b, r in zip(blocks, ratio)])
+        spared = {p for p, own in enumerate(page.mark) if p == own and held[p] > share * held[0]}
+    # the nearest mark that is believed
+    real: list[int] = []
+    for p, up in enumerate(page.up):
+        real.append(p if page.mark[p] == p and p not in spared else real[up] if up >= 0 else -1)
+    kept = [b for b in blocks if real[b.element] < 0]
     # an article whose whole text is marked keeps it
     return kept or (blocks if boxes else [])
 
 
-def main_text(page: str | None, share: float = 0.25) -> str:
+def main_text(html_: str | None, share: float = 0.25) -> str:
     """The articles of one page; ``share`` of the mean ratio (by length) makes a path content."""
-    if not page:
-        return ""
-    blocks, tags = blocks_of(page)
-    if not blocks:
+    if not html_:
         return ""
-    blocks = without_marked(blocks, tags)
+    page = read_page(html_)
+    blocks = without_marked(page) if page.blocks else []
     if not blocks:
         return ""
-    ratio, plain = path_ratios(blocks)
+    ratio, plain = path_ratios(page, blocks)
     size = np.array([len(b.text) for b in blocks], float)
+    tag = [page.tag[b.element] for b in blocks]
     level = share * (ratio * size).sum() / size.sum()
     content = ratio >= level
     # where the page says what is text, a path is held against itself without links: short plain lines are not lost
-    likely = (ratio >= PRIOR * np.minimum(level, plain)) | np.array([b.tag in HEADINGS for b in blocks])
-    weight: dict[int, float] = {}
-    for b, s, c in zip(blocks, size, content):
-        for p in b.parents:
-            weight[p] = weight.get(p, 0.0) + s * c
-    named = {p for p in weight if tags[p] == "article" and weight[p]} or {p for p in weight if tags[p] == "main" and weight[p]}
+    likely = (ratio >= PRIOR * np.minimum(level, plain)) | np.array([t in HEADINGS for t in tag])
+    weight = added_up(page, blocks, size * content)
+    named = {p for p, t in enumerate(page.tag) if t == "article" and weight[p]} or {p for p, t in enumerate(page.tag) if t == "main" and weight[p]}
     if named:
-        take = [not named.isdisjoint(b.parents) and x for b, x in zip(blocks, likely)]
+        box = nearest(page, named)
+        take = [box[b.element] >= 0 and x for b, x in zip(blocks, likely)]
     else:
-        total = weight[0]
-        box = max(p for p in weight if weight[p] >= 0.98 * total)
-        take = [box in b.parents and (c or x and b.tag in TEXTUAL and b.links < 0.5 * len(b.text)) for b, c, x in zip(blocks, content, likely)]
+        box = nearest(page, {max(p for p, w in enumerate(weight) if w >= 0.98 * weight[0])})
+        take = [box[b.element] >= 0 and (c or x and t in TEXTUAL and b.links < 0.5 * len(b.text)) for b, t, c, x in zip(blocks, tag, content, likely)]
     return "\n".join(b.text for b, t in zip(blocks, take) if t)
 
 

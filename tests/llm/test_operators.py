@@ -169,6 +169,47 @@ def test_marks_do_not_drop_the_article(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_path_ratios_equal_brute_force():
+    rng = random.Random(16)
+    for _ in range(50):
+        parts = []
+        for _ in range(rng.randrange(1, 25)):
+            words = " ".join(rng.choice(["ab", "cde,", "f.", "ghijk"]) for _ in range(rng.randrange(1, 12)))
+            inner = f"<a href=/>{words}</a> x" if rng.random() < 0.3 else words
+            parts.append(rng.choice(["<p>{}</p>", "<div><p>{}</p></div>", "<ul><li>{}</ul>", "<section><h2>{}</h2></section>", "<div>{}</div>"]).format(inner))
+        page = html_text.read_page("<body>" + "".join(parts))
+        paths, rows = [], []
+        for b in page.blocks:
+            tags, p = [], b.element
+            while p >= 0:
+                tags.append(page.tag[p])
+                p = page.up[p]
+            paths.append(tuple(tags))
+            rows.append((len(b.text), sum(c in ".,;:!?" for c in b.text), min(b.links, len(b.text))))
+        own = []
+        for path in paths:
+            n, chars, points, linked = (sum(x) for x in zip(*((1, *r) for r, q in zip(rows, paths) if q == path)))
+            plain = chars / n * (1 + math.log1p(points / n))
+            own.append((plain * (1 - linked / chars) ** 2, plain))
+        want = []
+        for i, (chars, _, linked) in enumerate(rows):
+            near = [(math.exp(-((i - j) ** 2) / 2), own[j][0]) for j in range(max(0, i - 2), min(len(rows), i + 3))]
+            want.append(max(sum(w * x for w, x in near) / sum(w for w, _ in near) * (1 - linked / chars), own[i][0]))
+        ratio, plain = html_text.path_ratios(page, page.blocks)
+        assert ratio.tolist() == pytest.approx(want) and plain.tolist() == pytest.approx([x for _, x in own])
+
+
+def test_nesting_in_linear_time():
+    import time
+
+    took = []
+    for n in (500, 8000):
+        began = time.perf_counter()
+        assert html_text.main_text("<article>" + "<div>a, b.<section class=ad>" * n + "<p>end</p></b>").startswith("a, b.")
+        took.append(time.perf_counter() - began)
+    assert took[1] < 60 * max(took[0], 0.005)
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", 0), (1, "u", "<p>a</p>", 0), (None, None, None, 1)], "page_id long, url string, html string, n_chars long")
     got = html_text.extract(pages)
