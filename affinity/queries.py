@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .config import EngineConfig, SamplerConfig
 from .functions.columns import behavior_code, behavior_name, stable_hash_hex
+from .functions.shuffle import GAMMA, MIX_A, MIX_B, SHORT_A, SHORT_B
 from .operators import metrics, pairs, postings, ranking, sampler
 from .operators.lineage import cut
 from .plans import pipelines
@@ -215,12 +216,40 @@ EXACT = "contrib AS (SELECT a.item_id, a.behavior, a.user_id AS user1, b.user_id
 COUNTS = "counts AS (SELECT user1, user2, count(*) FILTER (behavior = 'buy') AS buy_count, count(*) FILTER (behavior = 'pv') AS pv_count FROM contrib GROUP BY ALL)"
 
 
-def ring(exact_buy: int, exact_pv: int, near_buy: int, near_pv: int) -> str:
+WIDE = "18446744073709551616::UHUGEINT"
+
+
+def step_sql(x: str, bits: int, factor: int) -> str:
+    return f"((xor({x}, {x} >> {bits}) * {factor}::UHUGEINT) % {WIDE})"
+
+
+def mix_sql(value: str) -> str:
+    """The 64-bit finaliser over 128-bit numbers."""
+    return f"(SELECT xor(c, c >> 31) FROM (SELECT {step_sql('b', 27, MIX_B)} AS c FROM (SELECT {step_sql('a', 30, MIX_A)} AS b FROM (SELECT {value} AS a))))"
+
+
+def shuffle_sql(seed: int) -> str:
+    """Places by the seeded shuffle: one draw of a group at each step of a recursion, refused draws included."""
+    start = f"xor(xor({mix_sql('item_id::UHUGEINT')}, {mix_sql("(CASE behavior WHEN 'buy' THEN 1 ELSE 2 END)::UHUGEINT")}), {seed}::UHUGEINT)"
+    return f"""dealt AS (SELECT item_id, behavior, list(user_id ORDER BY user_id) AS u, count(*) - 1 AS i FROM edge GROUP BY ALL),
+        walk AS (SELECT item_id, behavior, u, i, {start} AS state FROM dealt
+            UNION ALL SELECT item_id, behavior, CASE WHEN fine THEN list_transform(u, lambda x, p: CASE p WHEN i + 1 THEN u[j + 1] WHEN j + 1 THEN u[i + 1] ELSE x END) ELSE u END, i - fine::int, state
+            FROM (SELECT *, CASE WHEN even THEN r % (i + 1) ELSE (r >> 1) % (i + 1) END AS j, even OR (r >> 1) + i - (r >> 1) % (i + 1) < 2147483648 AS fine
+                FROM (SELECT *, ({step_sql('z', 28, SHORT_B)} >> 32)::bigint AS r, bit_count(i + 1) = 1 AS even
+                    FROM (SELECT *, {step_sql('state', 33, SHORT_A)} AS z FROM (SELECT item_id, behavior, u, i, (state + {GAMMA}::UHUGEINT) % {WIDE} AS state FROM walk WHERE i > 0))))),
+        pos AS (SELECT item_id, behavior, unnest(u) AS user_id, generate_subscripts(u, 1) - 1 AS pos FROM walk WHERE i = 0)"""
+
+
+#: Places by the hash order.
+HASHED = "pos AS (SELECT item_id, behavior, user_id, row_number() OVER (PARTITION BY item_id, behavior ORDER BY md5(concat_ws('|', item_id, behavior, '7', user_id)), user_id) - 1 AS pos FROM edge)"
+
+
+def ring(exact_buy: int, exact_pv: int, near_buy: int, near_pv: int, places: str = HASHED) -> str:
     """Plan, places on the ring, and pairs by their distance on it."""
     pick = lambda buy, pv: f"CASE behavior WHEN 'buy' THEN {buy} ELSE {pv} END"
     return f"""plan0 AS (SELECT *, n > {pick(exact_buy, exact_pv)} AS sampled, CASE WHEN n > {pick(exact_buy, exact_pv)} THEN least({pick(near_buy, near_pv)}, n - 1) ELSE n - 1 END AS k0 FROM deg WHERE n >= 2),
         plan AS (SELECT *, (k0 < n - 1 AND n % 2 = 1 AND k0 % 2 = 1) AS odd, k0 - (k0 < n - 1 AND n % 2 = 1 AND k0 % 2 = 1)::int AS k FROM plan0),
-        pos AS (SELECT item_id, behavior, user_id, row_number() OVER (PARTITION BY item_id, behavior ORDER BY md5(concat_ws('|', item_id, behavior, '7', user_id)), user_id) - 1 AS pos FROM edge),
+        {places},
         contrib AS (SELECT a.item_id, a.behavior, least(a.user_id, b.user_id) AS user1, greatest(a.user_id, b.user_id) AS user2
             FROM pos a JOIN pos b ON a.item_id = b.item_id AND a.behavior = b.behavior AND a.pos < b.pos JOIN plan p ON p.item_id = a.item_id AND p.behavior = a.behavior
             WHERE k = n - 1 OR least(b.pos - a.pos, n - (b.pos - a.pos)) <= k // 2 OR (k % 2 = 1 AND b.pos - a.pos = n // 2))"""
@@ -261,9 +290,7 @@ KINDS = f"{EVENTS5}, {STATS}, {LIMITS}, {CLASSED}"
 
 def hash_sql(value: str, seed: int) -> str:
     """SplitMix64 over 128-bit numbers, cut to 64 bits after each step."""
-    w = "18446744073709551616::UHUGEINT"
-    step = lambda x, n, m: f"((xor({x}, {x} >> {n}) * {m}::UHUGEINT) % {w})"
-    return f"(SELECT xor(c, c >> 31) FROM (SELECT {step('b', 27, 0x94D049BB133111EB)} AS c FROM (SELECT {step('a', 30, 0xBF58476D1CE4E5B9)} AS b FROM (SELECT ((xor({value}, {seed})::UHUGEINT + {0x9E3779B97F4A7C15}::UHUGEINT) % {w}) AS a))))"
+    return mix_sql(f"((xor({value}, {seed})::UHUGEINT + {GAMMA}::UHUGEINT) % {WIDE})")
 
 
 def sampler_sql() -> str:
@@ -315,6 +342,7 @@ ORACLES: dict[str, str] = {
     "pairs_bounded_native": f"WITH {OBS}, {EDGE}, {DEG}, {ring(0, 0, 5, 4)} SELECT * FROM contrib",
     "pairs_hybrid_native": f"WITH {HYBRID} SELECT * FROM contrib",
     "pairs_hybrid_metrics": f"WITH {HYBRID}, made AS (SELECT behavior, count(*) AS generated FROM contrib GROUP BY behavior) SELECT behavior, count(*) FILTER (NOT sampled) AS exact_lists, count(*) FILTER (sampled) AS sampled_lists, any_value(generated) AS generated, (sum(n * (n - 1) // 2) - sum(n * k // 2))::bigint AS not_generated, count(*) FILTER (odd) AS odd_adjusted FROM plan JOIN made USING (behavior) GROUP BY behavior",
+    "pairs_hybrid_compat": f"WITH RECURSIVE {OBS}, {EDGE}, {DEG}, {ring(21, 5, 10, 2, shuffle_sql(EngineConfig().sample_seed))}, {COUNTS} SELECT * FROM counts",
     "pair_scores": f"WITH {SCORED} SELECT * FROM scored",
     "pair_scores_min": f"WITH {SCORED} SELECT * FROM scored WHERE score >= 1.0",
     "pair_score_metrics": f"WITH {SCORED} SELECT count(*) FILTER (score >= 1.0) AS emitted_pairs, count(*) FILTER (score < 1.0) AS filtered_by_score FROM scored",
