@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,37 @@ def test_hybrid_without_limit_is_exact(spark):
     assert rows(pairs.hybrid_pairs(df, EngineConfig(exact_max_users_buy=-1))) == rows(exact)
 
 
+def test_exact_counts_of_large_groups_shuffle_no_contributions(spark):
+    df = group(spark, 200).union(group(spark, 150, behavior="buy"))
+    out = pipelines.pair_counts(df, EngineConfig())
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out) == rows(pairs.count_pairs(pairs.capped_pairs(df, EngineConfig())))
+
+
+@pytest.mark.parametrize(("cell", "block_edges"), [(1 << 20, 1 << 20), (200, 1 << 20), (1 << 20, 60)])
+def test_cells_count_as_the_join(spark, monkeypatch, cell, block_edges):
+    monkeypatch.setattr(pairs, "CELL", cell)
+    monkeypatch.setattr(pairs, "BLOCK_EDGES", block_edges)
+    ids = [-(2**63), -5, 0, 2**63 - 1, *range(30, 60)]
+    made = [(u, i, b) for k, u in enumerate(ids) for i, b in ((7, "buy"), (7, "pv"), (-(2**63), "pv"), (k % 5, "buy")) if (k + i) % 3]
+    edge = spark.createDataFrame([*made, (None, 7, "buy"), (3, None, "pv"), (4, None, "pv")], "user_id long, item_id long, behavior string")
+    n = edge.count()
+    got = pairs.cell_counts(edge, pairs.blocks_of(n, n * 10))
+    assert rows(got) == rows(pairs.count_pairs(pairs.exact_pairs(edge)))
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 20])
+def test_contributions_are_counted_in_bounded_parts(monkeypatch, at_once):
+    monkeypatch.setattr(pairs, "AT_ONCE", at_once)
+    side = lambda users: tuple(np.array(x) for x in zip(*[(u, u % k, b) for u in users for k in (2, 3) for b in (False, True)]))
+    low, high = side(range(20)), side(range(20, 50))
+    for left, right, own in ((low, high, False), (low, low, True)):
+        got = [r for b in pairs.counted(left, right, own) for r in zip(*b.to_pydict().values())]
+        want = Counter((min(u, v), max(u, v), bool(b)) for u, i, b in zip(*left) for v, j, c in zip(*right) if i == j and b == c and (u < v if own else True))
+        assert len(got) == len({r[:2] for r in got})
+        assert {(u, v, b): n for u, v, *own_ in got for b, n in zip((True, False), own_) if n} == want
+
+
 def test_order_and_repeats_do_not_matter(spark, obs):
     again = obs.union(obs).repartition(3).orderBy(F.desc("user_id"))
     assert rows(pipelines.similar_users(again)) == rows(pipelines.similar_users(obs))
