@@ -141,6 +141,14 @@ def test_exact_counts_of_large_groups_shuffle_no_contributions(spark):
     assert rows(out) == rows(pairs.count_pairs(pairs.capped_pairs(df, EngineConfig())))
 
 
+def test_thresholds_of_large_groups_shuffle_no_contributions(spark):
+    df = group(spark, 60).union(group(spark, 40, behavior="buy")).union(group(spark, 30, item=43, behavior="buy"))
+    cfg = EngineConfig(min_buy=2, min_pv=3)
+    out = pipelines.pair_counts(df, cfg)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out) == [(u, v, 2, 1) for u in range(1, 30) for v in range(u + 1, 31)]
+
+
 @pytest.mark.parametrize(("cell", "block_edges"), [(1 << 20, 1 << 20), (200, 1 << 20), (1 << 20, 60)])
 def test_cells_count_as_the_join(spark, monkeypatch, cell, block_edges):
     monkeypatch.setattr(pairs, "CELL", cell)
