@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, raw
+from .common import cut, dropped_shuffles, raw
 
 END = b""
 #: Bits of a key beyond the logarithm of the number of n-grams.
@@ -397,18 +397,19 @@ def score_documents(docs: DataFrame, trained, block_bytes: int = 5 << 20) -> Dat
     blocks and buckets grow in number with the corpus.
     """
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(trained, F.lit(False)).alias("trained"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    blocks = cut(gathered(dealt, block_bytes))
-    size = blocks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x + 1)"))).first()[0] or 0
-    keys = Keys.of(size)
-
-    def list_all(batches):
-        for batch in batches:
-            for at in range(batch.num_rows):
-                yield list_block(batch.slice(at, 1).to_pylist()[0], keys)
-
-    listed = blocks.mapInArrow(list_all, ddl(LISTED))
-    added = cut(listed.groupBy("bucket").applyInArrow(lambda t: add_bucket(t, keys), ddl(ADDED)))
-    facts = added.where("facts is not null").select(F.posexplode("facts")).groupBy("pos").agg(F.sum("col").alias("n")).orderBy("pos").collect()
+    # the listing is the largest shuffle; it goes before the next is written
+    with dropped_shuffles(docs.sparkSession):
+        blocks = cut(gathered(dealt, block_bytes))
+        size = blocks.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x + 1)"))).first()[0] or 0
+        keys = Keys.of(size)
+
+        def list_all(batches):
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    yield list_block(batch.slice(at, 1).to_pylist()[0], keys)
+
+        added = cut(blocks.mapInArrow(list_all, ddl(LISTED)).groupBy("bucket").applyInArrow(lambda t: add_bucket(t, keys), ddl(ADDED)))
+        facts = added.where("facts is not null").select(F.posexplode("facts")).groupBy("pos").agg(F.sum("col").alias("n")).orderBy("pos").collect()
     weights = Weights.of([r.n for r in facts] or [0] * (5 + 4 * CLASSES))
     out = blocks.groupBy("block").cogroup(added.drop("facts").groupBy("block")).applyInArrow(lambda d, a: score_block(d, a, keys, weights), ddl(SCORED))
     return out.withColumn("train_tokens", F.lit(weights.tokens).cast("long"))

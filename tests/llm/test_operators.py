@@ -3,7 +3,9 @@
 import hashlib
 import itertools
 import math
+import pathlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from affinity.llm import chat, common, decontamination, embeddings, html_text, licenses, lm, packing, quality, simhash, toxicity
 from affinity.llm.queries import vocabulary
+from affinity.operators.lineage import CLEANUP
 from brute import Walker
 
 LONG = "long words go on " * 20_000
@@ -671,6 +674,21 @@ def test_scores_equal_a_walk_state_by_state(spark, none, edges, monkeypatch):
     assert [tuple(r) for r in alone] == [(0, 0.0)]
 
 
+def test_listing_leaves_no_shuffle_files(spark):
+    def files():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p.name for d in dirs for p in pathlib.Path(d.getPath()).rglob("shuffle_*.data")}
+
+    before = files()
+    df = spark.createDataFrame([(i, f"a b c{i}") for i in range(50)], "doc_id long, text string")
+    out = lm.score_documents(df, F.lit(True))
+    end = time.time() + 5
+    while (left := files() - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and out.count() == 50
+    assert spark.conf.get(CLEANUP) == "false"
+
+
 def test_states_sum_to_one():
     model = Walker(["a b a c", "b b", "c a", "a b a b"])
     words = [w for (w,) in (g for g in model.count if len(g) == 1)]
