@@ -149,6 +149,13 @@ def test_thresholds_of_large_groups_shuffle_no_contributions(spark):
     assert rows(out) == [(u, v, 2, 1) for u in range(1, 30) for v in range(u + 1, 31)]
 
 
+def test_lines_of_large_groups_shuffle_no_contributions(spark):
+    out = pipelines.pair_counts(group(spark, 60), EngineConfig()).select(writers.pair_line().alias("line"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "format_string" not in plan
+    assert sorted(r.line for r in out.collect()) == sorted(f"{u},{v}\t0,1" for u in range(1, 60) for v in range(u + 1, 61))
+
+
 @pytest.mark.parametrize(("cell", "block_edges"), [(1 << 20, 1 << 20), (200, 1 << 20), (1 << 20, 60)])
 def test_cells_count_as_the_join(spark, monkeypatch, cell, block_edges):
     monkeypatch.setattr(pairs, "CELL", cell)
