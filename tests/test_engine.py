@@ -180,6 +180,37 @@ def test_contributions_are_counted_in_bounded_parts(monkeypatch, at_once):
         assert {(u, v, b): n for u, v, *own_ in got for b, n in zip((True, False), own_) if n} == want
 
 
+@pytest.mark.parametrize("worth", [0, 1, 10**6])
+@pytest.mark.parametrize("least", [(2, 3), (1, 0), (9, 2)])
+def test_groups_counted_by_bits_and_thresholds(monkeypatch, worth, least):
+    monkeypatch.setattr(pairs, "BITS", worth)
+    monkeypatch.setattr(pairs, "PAIRS", 70)
+    side = lambda users: tuple(np.array(x) for x in zip(*[(u, i, b) for u in users for i in range(300) for b in (False, True) if (u * i + u + b) % (2 + i % 3) == 0 or i == u == 5]))
+    low, high = side(range(18)), side(range(18, 29))
+    low = tuple(np.append(x, y) for x, y in zip(low, (17, 4, True)))  # an edge that may be there before
+    for left, right, own in ((low, high, False), (low, low, True)):
+        want = Counter((min(u, v), max(u, v), bool(b)) for u, i, b in zip(*left) for v, j, c in zip(*right) if i == j and b == c and (u < v if own else True))
+        both = {p: (want[*p, True], want[*p, False]) for p in {k[:2] for k in want}}
+        got = [r for b in pairs.counted(left, right, own, least) for r in zip(*b.to_pydict().values())]
+        assert sorted(got) == sorted((*p, x, y) for p, (x, y) in both.items() if x >= least[0] or y >= least[1])
+
+
+def test_large_groups_are_counted_without_their_contributions(monkeypatch):
+    users = np.arange(3000)
+    side = (np.repeat(users, 40), np.tile(np.arange(40), 3000), np.zeros(120_000, bool))
+    repeat, longest = np.repeat, []
+    monkeypatch.setattr(np, "repeat", lambda *a, **k: longest.append(len(out := repeat(*a, **k))) or out)
+    assert list(pairs.counted(side, side, True, (1, 41))) == []  # 180 million contributions, no pair passes
+    assert max(longest) < 1000
+
+
+def test_edges_of_many_blocks_leave_no_shuffle_behind(spark):
+    df = group(spark, 200).union(group(spark, 150, behavior="buy"))
+    plan = pipelines.pair_counts(df, EngineConfig(min_buy=1, min_pv=2))._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" in plan and "FlatMapGroupsInArrow" not in plan
+    assert pairs.blocks_of(2_245_500, 1.26e10) <= 16 < pairs.blocks_of(2_245_500, 1.26e12)
+
+
 def test_order_and_repeats_do_not_matter(spark, obs):
     again = obs.union(obs).repartition(3).orderBy(F.desc("user_id"))
     assert rows(pipelines.similar_users(again)) == rows(pipelines.similar_users(obs))
