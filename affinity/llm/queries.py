@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, html_text, licenses, lm, packing, quality, simhash, toxicity
+from . import chat, codes, decontamination, embeddings, html_text, licenses, lm, packing, quality, simhash, toxicity
 from .common import held_out
 
 
@@ -71,6 +71,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024).drop("scans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_html": op2_html,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_lm": op10_lm,
+    "op13_codes": op13_codes,
 }
 
 #: A text's length once escaped: a backslash more for each backslash and each control string.
@@ -92,6 +97,23 @@ def escaped(column: str) -> str:
     return ESCAPED.format(column, "|".join(re.escape(x).replace("'", "''") for x in chat.CONTROL))
 
 
+def codes_sql(rounds: int = 4) -> str:
+    """Assignments and means as one step after the other; a distance and its entry make one number."""
+    out = [
+        "kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "x AS MATERIALIZED (SELECT vec_id, p, e[p * (len(e) // 4) + 1 : (p + 1) * (len(e) // 4)] AS v FROM kept, range(4) t(p))",
+        "c0 AS MATERIALIZED (SELECT p, n - 1 AS entry, v FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY vec_id) AS n FROM x) WHERE n <= 256)",
+    ]
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT x.vec_id, x.p, min(256 * (list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, c.v) + list_inner_product(c.v, c.v)) + entry)::BIGINT AS best FROM x JOIN c{r} c ON c.p = x.p GROUP BY ALL)")
+        if r < rounds:
+            out.append(f"m{r} AS (SELECT p, entry, list(mean ORDER BY i) AS v FROM (SELECT p, entry, i, floor(sum(y) / count(*)) AS mean FROM (SELECT p, best % 256 AS entry, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM x JOIN a{r} USING (vec_id, p)) GROUP BY ALL) GROUP BY ALL)")
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT p, entry, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m USING (p, entry))")
+    coded = f"coded AS (SELECT vec_id, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)"
+    return f"""WITH {", ".join(out)}, {coded}, books AS (SELECT sha256(string_agg(y::BIGINT, ',' ORDER BY p, entry, i)) AS codebooks_sha256 FROM (SELECT p, entry, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM c{rounds}))
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), books"""
+
+
 ORACLES: dict[str, str] = {
     "op3_embeddings": """
         WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -109,4 +131,5 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(20 + {escaped("role")} + {escaped("text")})::BIGINT AS formatted_chars
         FROM rows GROUP BY conv_id""",
+    "op13_codes": codes_sql(),
 }
