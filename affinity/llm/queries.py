@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codes, decontamination, embeddings, html_text, licenses, lm, packing, quality, simhash, toxicity
+from . import chat, codes, decontamination, edits, embeddings, html_text, licenses, lm, packing, quality, simhash, toxicity
 from .common import held_out
 
 
@@ -71,6 +71,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.edited_pairs(table(spark, sf_dir, "documents"), digits=256)
+
+
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024).drop("scans")
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_lm": op10_lm,
+    "op12_edits": op12_edits,
     "op13_codes": op13_codes,
 }
 
