@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codes, decontamination, edits, embeddings, html_text, licenses, lm, packing, quality, simhash, toxicity
+from . import chat, codes, decontamination, edits, embeddings, html_text, licenses, lm, packing, quality, ranked, simhash, toxicity
 from .common import held_out
 
 
@@ -71,6 +71,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(ranked.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op12_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.edited_pairs(table(spark, sf_dir, "documents"), digits=256)
 
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_lm": op10_lm,
+    "op11_ranked": op11_ranked,
     "op12_edits": op12_edits,
     "op13_codes": op13_codes,
 }
@@ -136,5 +141,15 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(20 + {escaped("role")} + {escaped("text")})::BIGINT AS formatted_chars
         FROM rows GROUP BY conv_id""",
+    "op11_ranked": r"""
+        WITH word(name, id, term) AS (SELECT 'd', doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) FROM documents
+            UNION ALL SELECT 'q', item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) FROM benchmark),
+        posting AS (SELECT id AS doc_id, term, count(*) AS tf FROM word WHERE name = 'd' GROUP BY ALL),
+        size AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM posting GROUP BY doc_id), total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM size),
+        shift AS (SELECT doc_id, 75 + 25 * n * docs // terms AS m FROM size, total),
+        weight AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM posting GROUP BY term), total),
+        item AS (SELECT id AS item_id, term, count(*) AS c FROM word WHERE name = 'q' GROUP BY ALL),
+        found AS (SELECT item_id, doc_id, sum(c * w * (1000000000 * tf // (1000 * tf + 12 * m)))::BIGINT AS score FROM item JOIN weight USING (term) JOIN posting USING (term) JOIN shift USING (doc_id) GROUP BY ALL)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM found WHERE score > 0) WHERE rank <= 20""",
     "op13_codes": codes_sql(),
 }
