@@ -65,14 +65,13 @@ def whole_components(vectors: DataFrame, scale: int) -> DataFrame:
     """``vec_id, label, v``: kept rows with ``floor(scale * x)`` as 32-bit integers."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = []
-        for e in batch.column("e").to_pylist():
-            x = np.array([np.nan if c is None else c for c in e], np.float64)
-            with np.errstate(over="ignore"):
-                x = np.floor(scale * x)
-            if (np.abs(x) >= LARGEST).any():
-                raise ValueError(f"components of {LARGEST // scale} and more do not fit the distances")
-            own.append(x.astype("<i4").tobytes())
+        e = batch.column("e")
+        with np.errstate(over="ignore"):
+            x = np.floor(scale * e.flatten().to_numpy(zero_copy_only=False))
+        if (np.abs(x) >= LARGEST).any():
+            raise ValueError(f"components of {LARGEST // scale} and more do not fit the distances")
+        data, ends = x.astype("<i4").tobytes(), 4 * np.cumsum([0, *e.value_lengths().to_pylist()])
+        own = [data[a:b] for a, b in zip(ends[:-1], ends[1:])]
         return pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(own, pa.binary())], names=["vec_id", "label", "v"])
 
     label = F.col("label") if "label" in vectors.columns else F.lit(None)
@@ -198,11 +197,11 @@ def trained(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: int
     width = max(1, -(-longest // 4 // parts))
     first = [r.v for r in rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).select("v").collect()]
     seeds = matrix(pa.array(first, pa.binary()), "<i4", parts * width).astype(np.int64).reshape(len(first), parts, width)
-    books = Codebooks(seeds.transpose(1, 0, 2).copy(), np.zeros((parts, len(first)), np.int64))
     blank = lambda x: F.lit(np.full(parts, x, "<i8").tobytes())
     state = rows.select("*", blank(-1).alias("code"), blank(0).alias("upper"), blank(0).alias("lower"), blank(-1).alias("was"), F.lit(0).cast("long").alias("scans"))
     if not first:
-        return state, books.entries
+        return state, seeds.transpose(1, 0, 2)
+    books = Codebooks(seeds.transpose(1, 0, 2).copy(), np.zeros((parts, len(first)), np.int64))
     total, count = np.zeros(books.entries.shape, np.int64), np.zeros(books.entries.shape[:2], np.int64)
     for _ in range(rounds):
         state = cut(assigned(state, books))
