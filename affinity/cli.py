@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--ordered", action="store_true", help="pairs in order within each file")
         p.add_argument("--summary", action="store_true", help="print the counters of every step")
         p.add_argument("--stages", default=None, help="folder for posting lists and scores")
+        p.add_argument("--resume", action="store_true", help="go on from the posting lists in --stages; the input is not read")
         p.add_argument("--app-name", default="affinity")
         for f in fields(EngineConfig):
             flag = "--" + f.name.replace("_", "-")
@@ -68,15 +69,17 @@ def main(argv: list[str] | None = None) -> int:
         else:
             if args.shuffle_partitions:
                 spark.conf.set("spark.sql.shuffle.partitions", args.shuffle_partitions)
+            if args.resume and (args.command == "counts" or not args.stages):
+                raise ConfigError("--resume goes with top and --stages")
             if args.command == "counts":
                 done = pipelines.run_counts(spark, args.input, args.output, cfg, args.partitions, args.persist_final or args.count_results, args.ordered)
             else:
-                done = pipelines.run_top(spark, args.input, args.output, cfg, args.stages)
+                done = pipelines.run_top(spark, None if args.resume else args.input, args.output, cfg, args.stages, args.partitions)
             if args.count_results:
                 # pairs are kept; lists of users are counted where they were written
-                print(f"{done.count() if args.command == 'counts' else spark.read.text(args.output).count()} lines written")
+                print(f"{done.result.count() if args.command == 'counts' else spark.read.text(args.output).count()} lines written")
             if args.summary:
-                for name, n in pipelines.summary(spark, args.input, cfg).items():
+                for name, n in done.counters.items():
                     print(f"{name.upper()}={n}")
         print(f"{time.time() - started:.1f} s")
         return 0

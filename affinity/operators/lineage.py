@@ -1,4 +1,4 @@
-"""Lineage cuts at the reliable checkpoint folder."""
+"""Lineage cuts at the reliable checkpoint folder, and sessions with settings of their own."""
 
 from __future__ import annotations
 
@@ -16,7 +16,12 @@ def cut(df: DataFrame) -> DataFrame:
     is set only where that setting is absent and all runs on one machine (tests, a laptop);
     executors elsewhere would not see it.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, which all executors see."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,7 +30,18 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="affinity-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def own_session(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session with the settings of ``spark`` and these: frames that are read in it are planned by them, others are not."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    for name, value in settings.items():
+        own.conf.set(name, value)
+    return own
 
 
 #: Spark's setting that deletes a query's shuffle files at its end.

@@ -1,15 +1,44 @@
-"""Counters of every stage as one-row or few-row DataFrames."""
+"""Counters of every stage: sums that a run adds up while it writes, or one-row and few-row DataFrames."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..config import EngineConfig
+from ..config import BUY, PV, EngineConfig
 from ..functions.columns import is_finite
 from .postings import planned
 
 
+class Watch:
+    """Counters of the rows that pass chosen places of a plan, added up by the job that runs it.
+
+    Each watched frame must be run once, and to its end. A task that is run again because an executor was
+    lost may count twice, as in all of Spark's observed metrics.
+    """
+
+    def __init__(self) -> None:
+        self.seen: list[Observation] = []
+
+    def on(self, df: DataFrame, *columns: Column) -> DataFrame:
+        self.seen.append(Observation())
+        return df.observe(self.seen[-1], *columns)
+
+    def counters(self) -> dict[str, int]:
+        """All counters by name, once the jobs are done."""
+        return {name: int(n or 0) for o in self.seen for name, n in o.get.items()}
+
+
+#: What a session needs for the places to be there at the end: a plan found to be empty is not to be replaced.
+WATCHED = {"spark.sql.adaptive.optimizer.excludedRules": "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"}
+
+STATUSES = ("BUY", "PV", "FILTERED", "HEADER", "INVALID")
+
+
+def parse_tallies() -> list[Column]:
+    return [tally(f"records_{s.lower()}", F.col("status") == s) for s in STATUSES]
+
+
 def parse_counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy("status").agg(F.count("*").alias("records"))
 
@@ -20,31 +49,62 @@ def tally(name: str, condition=None, value=None):
     return F.coalesce(F.sum(F.when(condition, value) if condition is not None else value), F.lit(0)).cast("bigint").alias(name)
 
 
-def posting_counts(degree: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Lists emitted and dropped, distinct edges, potential and planned pairs, in one pass over the degrees."""
+def posting_tallies(cfg: EngineConfig) -> list[Column]:
+    """Lists emitted and dropped, distinct edges, potential and planned pairs, over all groups with their plan."""
     cap, n = cfg.max_users_per_item, F.col("n")
     above = (n > cap) & F.lit(cap > 0)
     of = lambda b: (F.col("behavior") == b) & (n >= 2) & ~above
     kinds = (("emitted", "posting_lists", None), ("distinct", "edges", n), ("potential", "all_pairs", F.col("potential")), ("planned", "pair_contributions", F.col("planned")))
     columns = [tally(f"{what}_{b}_{kind}", of(b), value) for b in ("buy", "pv") for what, kind, value in kinds]
-    return planned(degree, cfg).agg(*columns, tally("items_with_less_than_two_users", (n < 2) & ~above), tally("items_above_hard_max_users", above))
+    return [*columns, tally("items_with_less_than_two_users", (n < 2) & ~above), tally("items_above_hard_max_users", above)]
+
+
+def posting_counts(degree: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """``posting_tallies`` in one pass over the degrees."""
+    return planned(degree, cfg).agg(*posting_tallies(cfg))
+
+
+def plan_tallies(kind: str | None = None, usable: Column | None = None) -> list[Column]:
+    """Exact and sampled lists, pairs not generated, odd degrees adjusted; of one behavior, under its name, if told."""
+    own = F.lit(True) if kind is None else (F.col("behavior") == kind) & usable
+    name = "" if kind is None else f"{kind}_"
+    parts = (("exact_lists", own & ~F.col("sampled"), None), ("sampled_lists", own & F.col("sampled"), None), ("not_generated", own, F.col("potential") - F.col("planned")), ("odd_adjusted", own & F.col("odd_adjusted"), None))
+    return [tally(name + what, condition, value) for what, condition, value in parts]
+
+
+def generated_tallies() -> list[Column]:
+    return [tally(f"{b}_generated", F.col("behavior") == b) for b in (BUY, PV)]
 
 
 def pairing_counts(plan: DataFrame, contributions: DataFrame) -> DataFrame:
     """Exact and sampled lists, pairs generated and not generated, odd degrees adjusted, by behavior."""
-    groups = plan.groupBy("behavior").agg(tally("exact_lists", ~F.col("sampled")), tally("sampled_lists", F.col("sampled")), tally("not_generated", None, F.col("potential") - F.col("planned")), tally("odd_adjusted", F.col("odd_adjusted")))
+    groups = plan.groupBy("behavior").agg(*plan_tallies())
     made = contributions.groupBy("behavior").agg(F.count("*").alias("generated"))
     return groups.join(made, "behavior", "left").select("behavior", "exact_lists", "sampled_lists", F.coalesce("generated", F.lit(0)).alias("generated"), "not_generated", "odd_adjusted")
 
 
-def score_counts(scored: DataFrame, cfg: EngineConfig) -> DataFrame:
+def score_tallies(cfg: EngineConfig) -> list[Column]:
     low = F.col("score") < cfg.min_score
-    return scored.agg(tally("emitted_pairs", ~low), tally("filtered_by_score", low))
+    return [tally("emitted_pairs", ~low), tally("filtered_by_score", low)]
 
 
-def candidate_counts(scored: DataFrame) -> DataFrame:
+def score_counts(scored: DataFrame, cfg: EngineConfig) -> DataFrame:
+    return scored.agg(*score_tallies(cfg))
+
+
+def candidate_tallies() -> list[Column]:
     self_pair, bad = F.col("user1") == F.col("user2"), ~is_finite(F.col("score"))
-    return scored.agg(tally("directed_candidates", ~self_pair & ~bad, F.lit(2)), tally("self_pairs", self_pair), tally("invalid_scores", ~self_pair & bad))
+    return [tally("directed_candidates", ~self_pair & ~bad, F.lit(2)), tally("self_pairs", self_pair), tally("invalid_scores", ~self_pair & bad)]
+
+
+def candidate_counts(scored: DataFrame) -> DataFrame:
+    return scored.agg(*candidate_tallies())
+
+
+def list_tallies(k: int) -> list[Column]:
+    """Over the users' lists: how many there are, how many are short, and what they hold."""
+    size = F.size("top")
+    return [tally("users_emitted"), tally("candidates_kept", None, size), tally("users_with_fewer_than_k", size < k)]
 
 
 def top_counts(candidates: DataFrame, k: int) -> DataFrame:

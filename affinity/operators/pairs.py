@@ -76,8 +76,12 @@ def bounded_pairs(placed: DataFrame) -> DataFrame:
 def hybrid_pairs(obs: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Pair contributions: groups within their exact limit in full, larger ones bounded."""
     edge = edges(obs)
-    plan = pair_plan(degrees(edge), cfg).select(*KEY, "n", "k")
-    known = edge.join(plan, KEY)
+    return planned_pairs(edge, pair_plan(degrees(edge), cfg), cfg)
+
+
+def planned_pairs(edge: DataFrame, plan: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """``hybrid_pairs`` of edges whose groups' plan is known."""
+    known = edge.join(plan.select(*KEY, "n", "k"), KEY)
     whole = exact_pairs(known.where("k = n - 1").select(*KEY, "user_id"))
     large = known.where("k < n - 1 and k > 0")
     placed = native_positions(large, cfg.sample_seed) if cfg.sampling == "native" else compat_positions(large, cfg.sample_seed)

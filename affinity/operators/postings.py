@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BUY, EngineConfig
@@ -36,6 +36,32 @@ def posting_lists(edge: DataFrame, cfg: EngineConfig) -> DataFrame:
     return usable(lists.withColumn("n", F.size("users").cast("bigint")), cfg).drop("n")
 
 
+#: Users of a chunk of a posting list.
+CHUNK = 4096
+
+
+def posting_chunks(edge: DataFrame, degree: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``item_id, behavior, chunk, first, last, n, users``: posting lists of ``degree``'s groups in chunks of at most ``size`` ordered users.
+
+    A list longer than a chunk is cut into equal ranges of its users' ids before it is ordered, so many
+    tasks order it and no row holds it whole. Chunks follow each other by their numbers, which may leave some out.
+    """
+    bounds = edge.groupBy(*KEY).agg(F.min("user_id").alias("low"), F.max("user_id").alias("high"))
+    at = {c: F.col(c).cast("double") for c in ("user_id", "low", "high")}  # rounding keeps the order
+    place = F.floor((at["user_id"] - at["low"]) * F.expr(f"2 * (n div {size}) + 1") / (at["high"] - at["low"] + 1))
+    part = F.when(F.col("n") > size, place).otherwise(F.lit(0)).cast("bigint")
+    ranged = edge.join(degree.select(*KEY, "n").join(bounds, KEY), KEY).select(*KEY, "user_id", part.alias("part"))
+    own = F.row_number().over(Window.partitionBy(*KEY, "part").orderBy("user_id")) - 1
+    numbered = ranged.select(*KEY, "user_id", (F.col("part") * (1 << 32) + F.floor(own / size)).cast("bigint").alias("chunk"))
+    users = numbered.groupBy(*KEY, "chunk").agg(F.array_sort(F.collect_list("user_id")).alias("users"))
+    return users.select(*KEY, "chunk", F.element_at("users", 1).alias("first"), F.element_at("users", -1).alias("last"), F.size("users").cast("bigint").alias("n"), "users")
+
+
+def chunk_edges(chunks: DataFrame) -> DataFrame:
+    """The edges that ``posting_chunks`` holds."""
+    return chunks.select(*KEY, F.explode("users").alias("user_id"))
+
+
 def by_behavior(limits: dict[str, int]) -> Column:
     return F.when(F.col("behavior") == BUY, F.lit(limits["buy"])).otherwise(F.lit(limits["pv"])).cast("bigint")
 

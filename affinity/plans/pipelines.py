@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import EngineConfig, SamplerConfig
+from ..config import BUY, PV, EngineConfig, SamplerConfig
 from ..operators import metrics, pairs, postings, ranking, sampler
+from ..operators.lineage import cut, own_session
 from ..sources import readers, writers
 
 
@@ -30,46 +31,87 @@ def similar_users(obs: DataFrame, cfg: EngineConfig | None = None) -> DataFrame:
     return ranking.top_k(ranking.directed(pair_scores(obs, cfg)), cfg.top_k)
 
 
-def run_counts(spark: SparkSession, source: str, target: str, cfg: EngineConfig, min_partitions: int | None = None, persist: bool = False, ordered: bool = False) -> DataFrame:
-    """Lines in, ``u1,u2<TAB>buy,pv`` lines out; returns the pairs, kept for further use where ``persist`` is set."""
+@dataclass
+class Run:
+    """What a run has written, and the counters of its steps, added up while it wrote."""
+
+    result: DataFrame
+    counters: dict[str, int]
+
+
+def watched_edges(lines: DataFrame, cfg: EngineConfig, watch: metrics.Watch) -> tuple[DataFrame, DataFrame]:
+    """The log's edges and the plan of its usable groups, both written down: the lines are read once."""
+    parsed = watch.on(readers.parse(lines, cfg), *metrics.parse_tallies())
+    edge = cut(postings.edges(readers.observations(parsed)))
+    groups = postings.planned(postings.degrees(edge), cfg)
+    below_cap = F.col("n") <= cfg.max_users_per_item if cfg.max_users_per_item > 0 else F.lit(True)
+    tallies = [t for b in (BUY, PV) for t in metrics.plan_tallies(b, (F.col("n") >= 2) & below_cap)]
+    return edge, postings.usable(cut(watch.on(groups, *metrics.posting_tallies(cfg), *tallies)), cfg)
+
+
+def watched_scores(edge: DataFrame, plan: DataFrame, cfg: EngineConfig, watch: metrics.Watch) -> DataFrame:
+    made = watch.on(pairs.planned_pairs(edge, plan, cfg), *metrics.generated_tallies())
+    scored = watch.on(ranking.scores(pairs.count_pairs(made), cfg), *metrics.score_tallies(cfg))
+    return ranking.passing_scores(scored, cfg)
+
+
+def watched_lists(passing: DataFrame, cfg: EngineConfig, watch: metrics.Watch) -> DataFrame:
+    known = watch.on(passing, *metrics.candidate_tallies())
+    return watch.on(ranking.top_lists(ranking.top_k(ranking.directed(known), cfg.top_k)), *metrics.list_tallies(cfg.top_k))
+
+
+def top_counters(watch: metrics.Watch) -> dict[str, int]:
+    """The counters of a top run; what a list dropped is what it saw less what it kept."""
+    out = watch.counters()
+    kept = out.pop("candidates_kept")
+    return out | {"candidates_seen": out["directed_candidates"], "candidates_dropped": out["directed_candidates"] - kept}
+
+
+def run_counts(spark: SparkSession, source: str, target: str, cfg: EngineConfig, min_partitions: int | None = None, persist: bool = False, ordered: bool = False) -> Run:
+    """Lines in, ``u1,u2<TAB>buy,pv`` lines out; the pairs are kept for further use where ``persist`` is set.
+
+    Counters: the parser's, those of the posting lists, and pairs generated, emitted and candidates they make.
+    """
     writers.guard(source, target)
-    obs = readers.observations(readers.parse(readers.read_lines(spark, source, min_partitions), cfg))
-    out = pair_counts(obs, cfg)
+    cfg.validate()
+    watch = metrics.Watch()
+    lines = readers.read_lines(own_session(spark, metrics.WATCHED), source, min_partitions)
+    edge, usable = watched_edges(lines, cfg, watch)
+    kept = edge.join(usable.select(*postings.KEY), postings.KEY, "left_semi") if cfg.max_users_per_item > 0 else edge
+    out = ranking.passing_counts(pairs.exact_counts(kept, (cfg.min_buy, cfg.min_pv)), cfg)
+    out = watch.on(out, *[metrics.tally(f"{b}_generated", None, F.col(f"{b}_count")) for b in (BUY, PV)], metrics.tally("emitted_pairs"))
     out = out.persist() if persist else out
     writers.write_pairs(out, target, cfg.overwrite, ordered)
-    return out
-
-
-def summary(spark: SparkSession, source: str, cfg: EngineConfig) -> dict[str, int]:
-    """The counters of every step of ``run_top`` over ``source``, by name."""
-    parsed = readers.parse(readers.read_lines(spark, source), cfg)
-    obs = readers.observations(parsed)
-    degree = postings.degrees(postings.edges(obs))
-    contributions = pairs.hybrid_pairs(obs, cfg)
-    scored = ranking.scores(pairs.count_pairs(contributions), cfg)
-    passing = ranking.passing_scores(scored, cfg)
-    out = {f"records_{r.status.lower()}": r.records for r in metrics.parse_counts(parsed).orderBy("status").collect()}
-    out |= metrics.posting_counts(degree, cfg).first().asDict()
-    for r in metrics.pairing_counts(postings.pair_plan(degree, cfg), contributions).orderBy("behavior").collect():
-        out |= {f"{r.behavior}_{name}": n for name, n in r.asDict().items() if name != "behavior"}
-    for counts in (metrics.score_counts(scored, cfg), metrics.candidate_counts(passing), metrics.top_counts(ranking.directed(passing), cfg.top_k)):
-        out |= counts.first().asDict()
-    return out
-
-
-def run_top(spark: SparkSession, source: str, target: str, cfg: EngineConfig, stages: str | None = None) -> DataFrame:
-    """Lines in, one line of similar users per user out; ``stages`` also keeps posting lists and scores."""
-    writers.guard(source, target, *([stages] if stages else []))
+    counters = watch.counters()
+    # every group is paired in full here, whatever a top run's plan is
+    counters = {name: n for name, n in counters.items() if not name.endswith(("exact_lists", "sampled_lists", "not_generated", "odd_adjusted"))}
+    counters |= {f"{b}_posting_lists": counters[f"emitted_{b}_posting_lists"] for b in (BUY, PV)} | {"directed_candidates": 2 * counters["emitted_pairs"]}
+    return Run(out, counters)
+
+
+def run_top(spark: SparkSession, source: str | None, target: str, cfg: EngineConfig, stages: str | None = None, min_partitions: int | None = None) -> Run:
+    """Lines in, one line of similar users per user out, the counters of every step beside.
+
+    ``stages`` also keeps posting lists, in chunks, and scores. Without a ``source`` the run goes on from the
+    posting lists of an earlier one in ``stages``, reads no log, and has no counters of the steps before.
+    """
+    writers.guard(*([source] if source else []), target, *([stages] if stages else []))
     cfg.validate()
-    obs = readers.observations(readers.parse(readers.read_lines(spark, source), cfg))
-    scored = pair_scores(obs, cfg)
+    watch, own = metrics.Watch(), own_session(spark, metrics.WATCHED)
+    if source is None:
+        edge = postings.chunk_edges(own.read.parquet(f"{stages}/postings"))
+        plan = postings.usable(cut(postings.planned(postings.degrees(edge), cfg)), cfg)
+    else:
+        edge, plan = watched_edges(readers.read_lines(own, source, min_partitions), cfg, watch)
+        if stages:
+            writers.write_postings(postings.posting_chunks(edge, plan), f"{stages}/postings", cfg.overwrite)
+    passing = watched_scores(edge, plan, cfg, watch)
     if stages:
-        writers.write_stage(postings.posting_lists(postings.edges(obs), cfg), f"{stages}/postings", cfg.overwrite)
-        writers.write_stage(scored, f"{stages}/scores", cfg.overwrite)
-        scored = spark.read.parquet(f"{stages}/scores")
-    lists = ranking.top_lists(ranking.top_k(ranking.directed(scored), cfg.top_k))
+        writers.write_stage(passing, f"{stages}/scores", cfg.overwrite or source is None)
+        passing = own.read.parquet(f"{stages}/scores")
+    lists = watched_lists(passing, cfg, watch)
     writers.write_top(lists, target, cfg.overwrite)
-    return lists
+    return Run(lists, top_counters(watch))
 
 
 class SourceTooSmall(RuntimeError):
@@ -77,7 +119,7 @@ class SourceTooSmall(RuntimeError):
 
 
 class SizeOutOfRange(RuntimeError):
-    """What was written is smaller or larger than asked for."""
+    """What was written, and then withdrawn, is smaller or larger than asked for."""
 
 
 @dataclass
@@ -89,7 +131,7 @@ class Sampled:
 def run_sampler(spark: SparkSession, source: str, target: str, cfg: SamplerConfig, overwrite: bool = False) -> Sampled:
     """Shrink a five-column CSV to the byte budget, whole users only, with a report beside the output.
 
-    The projected size is checked before anything is published, the written one afterwards.
+    The projected size is checked before anything is written, the written one before it is published.
     """
     writers.guard(source, target)
     cfg.validate()
@@ -100,13 +142,15 @@ def run_sampler(spark: SparkSession, source: str, target: str, cfg: SamplerConfi
         raise SourceTooSmall(f"the source has {facts.bytes or 0} bytes without its category, below {cfg.min_bytes}")
     selection = sampler.select_users(events, cfg)
     kept = sampler.keep_users(events, selection.users)
-    writers.write_events(kept, target, cfg.write_header, overwrite)
-    size = writers.written_bytes(spark, target)
-    if not cfg.min_bytes <= size <= cfg.max_bytes:
-        raise SizeOutOfRange(f"{size} bytes were written, not {cfg.min_bytes} to {cfg.max_bytes}")
+    written = Observation()
+    with writers.published(spark, target, overwrite) as place:
+        writers.write_csv(writers.event_rows(kept).observe(written, F.count("*").alias("rows")), place, cfg.write_header)
+        size = writers.written_bytes(spark, place)
+        if not cfg.min_bytes <= size <= cfg.max_bytes:
+            raise SizeOutOfRange(f"{size} bytes would be written, not {cfg.min_bytes} to {cfg.max_bytes}; nothing was published")
     report = {
         "input": source, "output": target, "source_had_header": header, "output_has_header": cfg.write_header, "seed": cfg.seed,
-        "valid_source_rows": facts.rows, "source_users": facts.users, "selected_users": selection.composition["total_selected_users"], "rows_written": kept.count(),
+        "valid_source_rows": facts.rows, "source_users": facts.users, "selected_users": selection.composition["total_selected_users"], "rows_written": written.get["rows"],
         "actual_output_bytes": size, "actual_output_gb": size / 1e9,
         "requested_min_gb": cfg.min_bytes / 1e9, "requested_target_gb": cfg.target_bytes / 1e9, "requested_max_gb": cfg.max_bytes / 1e9,
         "thresholds": selection.limits, "composition": selection.composition, "job1_deduplication_preserved": True,
