@@ -7,6 +7,7 @@ lines for the parser are made from events by fixed rules.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from .config import EngineConfig, SamplerConfig
 from .functions.columns import behavior_code, behavior_name, stable_hash_hex
 from .functions.shuffle import GAMMA, MIX_A, MIX_B, SHORT_A, SHORT_B
 from .operators import metrics, pairs, postings, ranking, sampler
-from .operators.lineage import cut
+from .operators.lineage import cut, own_session, shared_folder
 from .plans import pipelines
 from .sources import readers, writers
 
@@ -164,12 +165,74 @@ def behavior_codes(s: SparkSession, d: str) -> DataFrame:
     return named.groupBy("behavior", "code").agg(F.count("*").alias("n")).withColumn("name", behavior_name(F.col("code")))
 
 
+def scratch(s: SparkSession) -> str:
+    """A new place in the folder that all executors see."""
+    return f"{shared_folder(s)}/affinity-{uuid.uuid4().hex}"
+
+
+def awkward(c: F.Column, line_ends: bool) -> F.Column:
+    """A text that needs quotes in CSV, or looks as if it did."""
+    e, more = F.col("event_id"), {0: '"q"', 1: "\\", 2: ",x", 3: "\n z" if line_ends else '"', 4: '\\"y', 5: ' "'}
+    return F.concat(c, F.coalesce(*[F.when(e % 7 == k, v) for k, v in more.items()], F.lit("")))
+
+
+def csv5_file(s: SparkSession, d: str) -> DataFrame:
+    """A log written as quoted CSV with a header and read again: fields with quotes, commas, backslashes and line ends."""
+    raw = table(s, d, "events").select(F.col("user_id").cast("string").alias("user"), item().cast("string").alias("item"), awkward(F.lit("c"), True).alias("category"), awkward(behavior(), True).alias("behavior"), (F.col("event_id") + 1700000000).cast("string").alias("ts"))
+    place = scratch(s)
+    writers.write_csv(raw, place, header=True)
+    return readers.read_csv5(s, place)
+
+
+def csv_lines(s: SparkSession, d: str) -> DataFrame:
+    """The lines of a published CSV of events."""
+    rows = table(s, d, "events").select(F.col("user_id").cast("string").alias("user"), item().cast("string").alias("item"), awkward(behavior(), False).alias("behavior"), (F.col("event_id") + 1700000000).cast("string").alias("ts"))
+    place = scratch(s)
+    writers.write_events(rows, place)
+    return readers.read_lines(s, place)
+
+
+def posting_chunk_lists(s: SparkSession, d: str) -> DataFrame:
+    """Posting lists put together from stored chunks of at most 16 users, and their longest chunk."""
+    edge, place = postings.edges(obs(s, d)), scratch(s)
+    writers.write_postings(postings.posting_chunks(edge, postings.usable(postings.degrees(edge), CFG), 16), place)
+    ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "users"))), lambda x: x["users"]))
+    lists = s.read.parquet(place).groupBy("item_id", "behavior").agg(F.array_join(ordered.cast("array<string>"), " ").alias("users"), (F.max("n") <= 16).alias("short"))
+    return lists
+
+
+def postings_resumed(s: SparkSession, d: str) -> DataFrame:
+    """The most similar users, from stored posting lists: the log is not read again."""
+    edge, place = postings.edges(obs(s, d)), scratch(s)
+    writers.write_postings(postings.posting_chunks(edge, postings.usable(postings.degrees(edge), CFG)), place)
+    stored = postings.chunk_edges(s.read.parquet(place))
+    made = pairs.planned_pairs(stored, postings.pair_plan(postings.degrees(stored), CFG), CFG)
+    return ranking.top_k(ranking.directed(ranking.passing_scores(ranking.scores(pairs.count_pairs(made), CFG), CFG)), CFG.top_k)
+
+
+COUNTED = EngineConfig(has_header=True, sample_seed=7, min_score=1.0, top_k=10)
+
+
+def run_counters(s: SparkSession, d: str) -> DataFrame:
+    """All counters of a top run over raw lines, added up by the run itself."""
+    watch = metrics.Watch()
+    edge, plan = pipelines.watched_edges(lines(own_session(s, metrics.WATCHED), d), COUNTED, watch)
+    lists = pipelines.watched_lists(pipelines.watched_scores(edge, plan, COUNTED, watch), COUNTED, watch)
+    lists.write.format("noop").mode("overwrite").save()
+    return s.createDataFrame(sorted(pipelines.top_counters(watch).items()), "name string, value long")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "behavior_codes": behavior_codes,
     "parse_observations": lambda s, d: readers.observations(parsed(s, d)),
     "parse_status_counts": lambda s, d: metrics.parse_counts(parsed(s, d)),
     "parse_custom_layout": lambda s, d: readers.parse(lines(s, d, "|"), EngineConfig(delimiter="|", user_index=1, item_index=0)),
     "csv5_ingest": lambda s, d: readers.clean_events(source5(s, d)),
+    "csv5_file": csv5_file,
+    "csv_lines": csv_lines,
+    "posting_chunk_lists": posting_chunk_lists,
+    "postings_resumed": postings_resumed,
+    "run_counters": run_counters,
     "distinct_edges": lambda s, d: postings.edges(obs(s, d)),
     "posting_lists": posting_lists_query,
     "posting_degrees": lambda s, d: postings.degrees(postings.edges(sales(s, d))),
@@ -322,12 +385,39 @@ def sampler_sql() -> str:
 
 SAMPLER = sampler_sql()
 
+
+def awkward_sql(text: str, line_ends: bool) -> str:
+    more = {0: "'\"q\"'", 1: "'\\'", 2: "',x'", 3: "chr(10) || ' z'" if line_ends else "'\"'", 4: "'\\\"y'", 5: "' \"'"}
+    return f"({text} || CASE event_id % 7 " + " ".join(f"WHEN {k} THEN {v}" for k, v in more.items()) + " ELSE '' END)"
+
+
+def counters_sql() -> str:
+    """The counters of ``run_counters``, each from the relation that it counts."""
+    of = lambda b: f"behavior = '{b}'"
+    named = [(f"records_{x.lower()}", f"SELECT count(*) FROM parsed WHERE status = '{x}'") for x in metrics.STATUSES]
+    for b in ("buy", "pv"):
+        for name, value in ((f"emitted_{b}_posting_lists", "count(*)"), (f"distinct_{b}_edges", "sum(n)"), (f"potential_{b}_all_pairs", "sum(n * (n - 1) // 2)"), (f"planned_{b}_pair_contributions", "sum(n * k // 2)"), (f"{b}_exact_lists", "count(*) FILTER (NOT sampled)"), (f"{b}_sampled_lists", "count(*) FILTER (sampled)"), (f"{b}_not_generated", "sum(n * (n - 1) // 2) - sum(n * k // 2)"), (f"{b}_odd_adjusted", "count(*) FILTER (odd)")):
+            named.append((name, f"SELECT coalesce({value}, 0) FROM plan WHERE {of(b)}"))
+        named.append((f"{b}_generated", f"SELECT count(*) FROM contrib WHERE {of(b)}"))
+    named += [("items_with_less_than_two_users", "SELECT count(*) FROM deg WHERE n < 2"), ("items_above_hard_max_users", "SELECT 0")]
+    named += [("emitted_pairs", "SELECT count(*) FROM scored WHERE score >= 1.0"), ("filtered_by_score", "SELECT count(*) FROM scored WHERE score < 1.0"), ("directed_candidates", "SELECT count(*) FROM directed"), ("self_pairs", "SELECT 0"), ("invalid_scores", "SELECT 0")]
+    named += [("users_emitted", "SELECT count(*) FROM seen"), ("candidates_seen", "SELECT coalesce(sum(n), 0) FROM seen"), ("users_with_fewer_than_k", "SELECT count(*) FROM seen WHERE n < 10"), ("candidates_dropped", "SELECT coalesce(sum(greatest(n - 10, 0)), 0) FROM seen")]
+    logged = "obs AS (SELECT user_id, item_id, behavior FROM parsed WHERE status IN ('BUY', 'PV'))"
+    steps = f"{PARSED}, {logged}, {EDGE}, {DEG}, {ring(21, 5, 10, 2)}, {COUNTS}, scored AS (SELECT user1, user2, buy_count * 1.0::DOUBLE + pv_count * 0.2::DOUBLE AS score FROM counts), passing AS (SELECT * FROM scored WHERE score >= 1.0)"
+    return f"WITH {steps}, directed AS (SELECT user1 AS user_id FROM passing UNION ALL SELECT user2 FROM passing), seen AS (SELECT user_id, count(*) AS n FROM directed GROUP BY user_id) " + " UNION ALL ".join(f"SELECT '{name}' AS name, ({value})::BIGINT AS value" for name, value in named)
+
+
 ORACLES: dict[str, str] = {
     "behavior_codes": f"SELECT {BEH} AS behavior, CASE {BEH} WHEN 'buy' THEN 1 WHEN 'pv' THEN 2 END AS code, CASE {BEH} WHEN 'buy' THEN 'buy' WHEN 'pv' THEN 'pv' ELSE 'unknown' END AS name, count(*) AS n FROM events GROUP BY ALL",
     "parse_observations": f"WITH {PARSED} SELECT user_id, item_id, behavior FROM parsed WHERE status IN ('BUY', 'PV')",
     "parse_status_counts": f"WITH {PARSED} SELECT status, count(*) AS records FROM parsed GROUP BY status",
     "parse_custom_layout": f"WITH {parsed_sql('|', 1, 0, False)} SELECT * FROM parsed",
     "csv5_ingest": f"""SELECT user_id, user_id::varchar AS "user", {K} AS item_id, {K}::varchar AS item, {BEH} AS behavior, (event_id + 1700000000)::varchar AS ts FROM events WHERE event_id % 97 <> 0 AND event_id % 89 <> 1 AND event_id % 83 <> 2""",
+    "csv5_file": f"""SELECT user_id, user_id::varchar AS "user", {K} AS item_id, {K}::varchar AS item, trim({awkward_sql(BEH, True)}) AS behavior, (event_id + 1700000000)::varchar AS ts FROM events""",
+    "csv_lines": f"""SELECT user_id || ',' || {K} || ',' || CASE WHEN regexp_matches(b, '[",]') THEN '"' || replace(b, '"', '""') || '"' ELSE b END || ',' || (event_id + 1700000000) AS value FROM (SELECT *, {awkward_sql(BEH, False)} AS b FROM events)""",
+    "posting_chunk_lists": f"WITH {OBS}, {EDGE} SELECT item_id, behavior, string_agg(user_id::varchar, ' ' ORDER BY user_id) AS users, true AS short FROM edge GROUP BY ALL HAVING count(*) >= 2",
+    "postings_resumed": f"WITH {TOP} SELECT user_id, rank::int AS rank, similar_user, score FROM top",
+    "run_counters": counters_sql(),
     "distinct_edges": f"WITH {OBS}, {EDGE} SELECT * FROM edge",
     "posting_lists": f"WITH {OBS}, {EDGE} SELECT item_id, behavior, string_agg(user_id::varchar, ' ' ORDER BY user_id) AS users FROM edge GROUP BY ALL HAVING count(*) >= 2",
     "posting_degrees": f"WITH {SALES}, {EDGE}, {DEG} SELECT * FROM deg",

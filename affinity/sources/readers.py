@@ -56,7 +56,7 @@ def observations(parsed: DataFrame) -> DataFrame:
 #: Quotes are doubled within quoted fields, a backslash is a character like others, nothing is trimmed.
 CSV_FORM = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "encoding": "UTF-8", "mode": "PERMISSIVE", "maxColumns": "1000000"}
 #: A line that is a record of its own: every field without quotes, or quoted with quotes doubled.
-WHOLE_RECORD = r'^(?:[^",]*+|"[^"]*+(?:""[^"]*+)*+")(?:,(?:[^",]*+|"[^"]*+(?:""[^"]*+)*+"))*+$'
+WHOLE_RECORD = r'^(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)(?:,(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+))*+$'
 MARK = "\ufeff"
 
 
