@@ -1,27 +1,31 @@
 """User-complete sampling of an event log to a byte budget.
 
 Users are classed by activity, and whole profiles are added greedily in a fixed order, a
-profile that no longer fits being skipped. A stage of the greedy walk is a prefix that
-fits as a whole, found from sums over ranges of the order (at most some thousand on the
-driver), and a tail past the first profile that did not fit: there only profiles no larger
-than what is left are of interest, fetched some thousand at a time.
+profile that no longer fits being skipped. The walk is sequential by definition, yet few
+jobs find its result. Ranges of the order, on executors, are summed up; the profiles that fit one
+after the other from the start are a prefix, found from these sums. From then on the walk goes down by powers of
+two: while ``room`` bytes are left, with ``2**c <= room < 2**(c + 1)``, every profile below ``2**c`` bytes fits,
+and at most one larger one can still come in, after which the room is below ``2**c``. So the next
+place where the room falls below is the first at which either the small profiles' running
+sum has used it up or a larger profile fits, and both are found from the ranges' sums and one pass
+over the profiles. Each power takes one round at most, whatever the number of profiles.
+What is taken is told by bounds of the order and sizes, never as a list of users.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SamplerConfig
 from ..functions.columns import stable_hash_hex
 from .lineage import cut
 
-#: Candidates of a stage's tail that come to the driver at once.
-TAIL = 20_000
-
-
 def user_stats(events: DataFrame) -> DataFrame:
     """``user_id, projected_bytes, total, useful, buy, fav``; the bytes are those of the output lines."""
     size = F.length("user") + F.length("item") + F.length("behavior") + F.length("ts") + 4
@@ -29,17 +33,37 @@ def user_stats(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.sum(size.cast("bigint")).alias("projected_bytes"), F.count("*").alias("total"), F.sum(buy + fav).alias("useful"), F.sum(buy).alias("buy"), F.sum(fav).alias("fav"))
 
 
+#: Equal ranges that a round of ``nearest_rank`` counts values in.
+RANGES = 1024
+
+
 def nearest_rank(stats: DataFrame, column: str, fractions: dict[str, float]) -> dict[str, int]:
     """Values at ``round_half_even((n - 1) * fraction)`` of the sorted column; 0 for no rows.
 
-    From a histogram of the column's values: event counts repeat, users do not matter.
+    Each round counts the values in equal ranges of what is left for each rank, and goes on in the range that
+    holds it: seven rounds at most for whole numbers of 64 bits, and no row is sorted.
     """
-    counts = stats.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("m"))
-    running = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    steps = counts.select("v", F.sum("m").over(running).alias("upto"))
-    n = stats.count()
-    found = steps.agg(*[F.min(F.when(F.col("upto") > round((n - 1) * f), F.col("v"))).alias(name) for name, f in fractions.items()]).first()
-    return {name: int(found[name] or 0) for name in fractions}
+    facts = stats.agg(F.count(column).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).first()
+    if not facts.n:
+        return dict.fromkeys(fractions, 0)
+    left = {name: (int(facts.low), int(facts.high), round((facts.n - 1) * f)) for name, f in fractions.items()}
+    while any(low < high for low, high, _ in left.values()):
+        at = []
+        for low, high, _ in left.values():
+            width = (high - low) // RANGES + 1
+            inside = F.col(column).between(low, high)
+            at.append(F.when(inside, F.expr(f"(cast(`{column}` as decimal(20,0)) - {low}BD) div {width}BD").cast("int")))
+        counts: list[dict[int, int]] = [{} for _ in at]
+        for r in stats.select(F.posexplode(F.array(*at))).where("col is not null").groupBy("pos", "col").agg(F.count("*").alias("m")).collect():
+            counts[r.pos][r.col] = r.m
+        for (name, (low, high, rank)), own in zip(list(left.items()), counts):
+            width = (high - low) // RANGES + 1
+            for k in sorted(own):
+                if rank < own[k]:
+                    left[name] = (low + k * width, min(high, low + (k + 1) * width - 1), rank)
+                    break
+                rank -= own[k]
+    return {name: low for name, (low, _, _) in left.items()}
 
 
 def thresholds(stats: DataFrame) -> dict[str, int]:
@@ -65,41 +89,107 @@ def neighbour_scores(events: DataFrame, anchors: DataFrame, core: DataFrame, reg
     return hits.join(others, "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("score"))
 
 
+@dataclass(frozen=True)
+class Place:
+    """A profile in the order of a walk: by score down, then by hash up."""
+
+    part: int
+    score: int
+    h: str
+
+
+def beyond(place: Place | None) -> Column:
+    """The profiles after ``place``."""
+    if place is None:
+        return F.lit(True)
+    return (F.col("score") < place.score) | (F.col("score") == place.score) & (F.col("h") > place.h)
+
+
+@dataclass(frozen=True)
+class Stop:
+    """Where a round ends: the profile there, bytes taken up to it by others, and whether and as which it is taken."""
+
+    place: Place
+    before: int
+    size: int
+    taken: bool
+
+
+def first_stop(left: DataFrame, starts: dict[int, int], small: int, room: int, least: int, need: int | None) -> Stop | None:
+    """The first profile of ``left(part, score, h, size)`` at which a round ends.
+
+    Profiles below ``small`` bytes are taken one after the other, ``starts`` tells the bytes of those in earlier ranges. A round ends
+    at the first that does not fit, that leaves less than ``least`` bytes of ``room``, that makes ``need`` bytes full, or at
+    a larger one that fits. All ranges look at once, each in its own order; the first one's answer counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[int, int] = {}  # bytes so far of a range; None once it has stopped
+        for batch in batches:
+            part, score, size = (batch.column(c).to_numpy() for c in ("part", "score", "size"))
+            for p in np.unique(part).tolist():
+                if done.get(p, 0) is None:
+                    continue
+                own = np.flatnonzero(part == p)
+                low = size[own] < small
+                upto = starts[p] + done.get(p, 0) + np.cumsum(np.where(low, size[own], 0))
+                ends = np.where(low, (upto > room - least) | (upto >= (need or FULL)), upto + size[own] <= room)
+                at = np.flatnonzero(ends)
+                if len(at):
+                    k, i = int(at[0]), int(own[at[0]])
+                    before = int(upto[k] - (size[i] if low[k] else 0))
+                    yield pa.RecordBatch.from_pydict({"part": [p], "score": [int(score[i])], "h": [batch.column("h")[i].as_py()], "before": [before], "size": [int(size[i])], "taken": [before + int(size[i]) <= room]})
+                    done[p] = None
+                else:
+                    done[p] = int(upto[-1]) - starts[p]
+
+    found = left.select("part", "score", "h", "size").mapInArrow(run, "part long, score long, h string, before long, size long, taken boolean").orderBy("part").limit(1).collect()
+    return Stop(Place(found[0].part, found[0].score, found[0].h), found[0].before, found[0].size, found[0].taken) if found else None
+
+
+#: More bytes than there are.
+FULL = 1 << 62
+
+
 def greedy(candidates: DataFrame, used: int, budget: int, stop: int | None = None) -> tuple[DataFrame, int]:
     """Walk ``candidates(user_id, size, score, h)`` by score down, then hash up; take what fits into ``budget``.
 
     With ``stop`` the walk ends as soon as that many bytes are used. Returns the users taken
-    and the bytes then used.
+    and the bytes then used. Hashes of two users must differ.
     """
-    spark = candidates.sparkSession
-    coarse = candidates.groupBy("score", F.substring("h", 1, 3).alias("r")).agg(F.sum("size").alias("bytes")).orderBy(F.desc("score"), "r").toLocalIterator()
-    limit = budget if stop is None else min(budget, stop - 1)
-    at = None
-    for part in coarse:
-        if used + part.bytes > limit:
-            at = (part.score, part.r)
-            break
-        used += part.bytes
-    if at is None:
-        return candidates.select("user_id"), used
-    before = (F.col("score") > at[0]) | (F.col("score") == at[0]) & (F.substring("h", 1, 3) < at[1])
-    taken, last = [], None
-    rest = candidates.where(~before)
+    # sorted into ranges, which stay as they are once written
+    rows = cut(candidates.select("user_id", F.col("size").cast("bigint").alias("size"), F.col("score").cast("bigint").alias("score"), "h").orderBy(F.desc("score"), "h").withColumn("part", F.spark_partition_id()))
+    taken, after, first = F.lit(False), None, True
     while stop is None or used < stop:
-        tail = rest.where(F.col("size") <= budget - used)
-        if last is not None:
-            tail = tail.where((F.col("score") < last[0]) | (F.col("score") == last[0]) & (F.col("h") > last[1]))
-        rows = tail.orderBy(F.desc("score"), "h").limit(TAIL).collect()
-        for r in rows:
-            if used + r.size <= budget:
-                taken.append((r.user_id,))
-                used += r.size
-                if stop is not None and used >= stop:
-                    break
-        if len(rows) < TAIL:
+        room = budget - used
+        if room < 0:
+            break
+        left = rows.where(beyond(after) & (F.col("size") <= room))
+        # at first all are small: what fits one after the other is taken
+        small, least = (FULL, 0) if first else (1 << max(room, 1).bit_length() - 1, 1 << max(room, 1).bit_length() - 1)
+        sums = left.groupBy("part").agg(F.sum("size").alias("all"), F.sum(F.when(F.col("size") < small, F.col("size")).otherwise(0)).alias("small")).orderBy("part").collect()
+        if not sums:
+            break
+        need = None if stop is None else stop - used
+        if sum(r["all"] for r in sums) <= room and (need is None or sum(r["all"] for r in sums) < need):
+            taken, used = taken | beyond(after) & (F.col("size") <= room), used + sum(r["all"] for r in sums)
+            break
+        starts, running = {}, 0
+        for r in sums:
+            starts[r.part] = running
+            running += r.small
+        end = first_stop(left, starts, small, room, least, need)
+        inside = beyond(after) & (F.col("size") < min(small, room + 1))
+        if end is None:  # the small ones leave room, and no larger one fits
+            taken, used = taken | inside, used + running
             break
-        last = (rows[-1].score, rows[-1].h)
-    return candidates.where(before).select("user_id").union(spark.createDataFrame(taken, "user_id long")), used
+        at = (F.col("score") == end.place.score) & (F.col("h") == end.place.h)
+        taken = taken | inside & ~beyond(end.place) & ~at
+        used += end.before
+        if end.taken:
+            taken, used = taken | at, used + end.size
+        after, first = end.place, False
+    return rows.where(taken).select("user_id"), used
 
 
 @dataclass
@@ -128,7 +218,7 @@ def select_users(events: DataFrame, cfg: SamplerConfig) -> Selection:
     def walk(stage: str, pool: DataFrame, salt: int, end: int, stop: int | None = None, scored: bool = False) -> DataFrame:
         nonlocal chosen, used
         score = F.col("score") if scored else F.lit(0).cast("bigint")
-        rows = cut(pool.join(chosen.select("user_id"), "user_id", "left_anti").select("user_id", "size", score.alias("score"), stable_hash_hex(F.col("user_id"), cfg.seed + salt).alias("h")))
+        rows = pool.join(chosen.select("user_id"), "user_id", "left_anti").select("user_id", "size", score.alias("score"), stable_hash_hex(F.col("user_id"), cfg.seed + salt).alias("h"))
         taken, used = greedy(rows, used, min(end, cfg.max_bytes), stop)
         taken = cut(taken.withColumn("stage", F.lit(stage)))
         chosen = cut(chosen.unionByName(taken))

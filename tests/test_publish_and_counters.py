@@ -128,9 +128,6 @@ def test_counters_are_those_of_the_run(spark, tmp_path, cfg):
     path = log_of(tmp_path)
     run = pipelines.run_top(spark, path, str(tmp_path / "top"), cfg)
     assert run.counters == counted_apart(spark, path, cfg)
-    again = pipelines.run_top(spark, path, str(tmp_path / "top2"), cfg, stages=str(tmp_path / "stages"))
-    assert again.counters == run.counters
-    assert sorted(r.value for r in spark.read.text(str(tmp_path / "top")).collect()) == sorted(r.value for r in spark.read.text(str(tmp_path / "top2")).collect())
 
 
 def test_counters_of_an_empty_log(spark, tmp_path):
@@ -171,6 +168,7 @@ def test_the_log_is_read_once(spark, tmp_path):
 def test_a_run_goes_on_from_stored_lists(spark, tmp_path):
     path, stages, cfg = log_of(tmp_path), str(tmp_path / "stages"), EngineConfig(top_k=5)
     fresh = pipelines.run_top(spark, path, str(tmp_path / "a"), cfg, stages)
+    assert fresh.counters == counted_apart(spark, path, cfg)
     os.remove(path)
     resumed = pipelines.run_top(spark, None, str(tmp_path / "b"), cfg, stages)
     a, b = (sorted(r.value for r in spark.read.text(str(tmp_path / x)).collect()) for x in "ab")
