@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BUY, EngineConfig
@@ -16,6 +16,8 @@ from ..functions.shuffle import item_seed, shuffled
 from .lineage import cut, dropped_shuffles
 from .postings import KEY, degrees, edges, pair_plan, usable
 
+#: How many times more contributions than packed edges make cells cheaper than the join.
+SHORT = 16
 #: Contributions that are worth a cell of ``cell_counts`` up to ``SPREAD`` blocks, most of a cell beyond, edges of one of its blocks, contributions counted at once, and most tasks.
 CELL, SPREAD, LARGE_CELL, BLOCK_EDGES, AT_ONCE, TASKS = 32 << 20, 16, 1 << 30, 1 << 20, 1 << 20, 8192
 #: Pairs whose 64 bits are counted in the time of one contribution, pairs counted so at once, and most words of bits of a cell.
@@ -107,55 +109,88 @@ def count_pairs(contributions: DataFrame) -> DataFrame:
     return contributions.groupBy("user1", "user2").agg(of("buy").alias("buy_count"), of("pv").alias("pv_count"))
 
 
-def exact_counts(edge: DataFrame, least: tuple[int, int] = (0, 0)) -> DataFrame:
-    """``count_pairs`` of all pairs of each group, by the form that shuffles fewer rows.
+def exact_counts(edge: DataFrame, least: tuple[int, int] = (0, 0), written: bool = False) -> DataFrame:
+    """``count_pairs`` of all pairs of each group, by the form that costs less.
 
-    Pairs with fewer buys and fewer views than ``least`` may be missing.
+    Pairs with fewer buys and fewer views than ``least`` may be missing. Ids must be whole numbers.
 
-    One pass over the degrees tells edges and contributions. The join shuffles a row per
-    contribution, the square of a large group; cells shuffle every edge once per block.
+    The edges are written down first, unless they are ``written`` already, and told apart by one pass over the degrees: the join
+    shuffles a row per contribution, the square of a large group; cells shuffle every edge, packed, once per block.
     """
-    with dropped_shuffles(edge.sparkSession):
-        size = degrees(edge).agg(F.sum("n").alias("edges"), F.sum(F.expr("n * (n - 1) / 2")).alias("made")).first()
-    blocks = blocks_of(size.edges or 0, size.made or 0)
-    return cell_counts(edge, blocks, least) if (size.edges or 0) * blocks < (size.made or 0) else count_pairs(exact_pairs(edge))
+    wrong = [c for c in ("user_id", "item_id") if edge.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long")]
+    if wrong:
+        raise TypeError(f"ids must be whole numbers, not {', '.join(f'{c} {edge.schema[c].dataType.simpleString()}' for c in wrong)}")
+    edge = edge if written else cut(edge)
+    size = degrees(edge).agg(F.sum("n").alias("edges"), F.sum(F.expr("n * (n - 1) / 2")).alias("made")).first()
+    n, made = size.edges or 0, size.made or 0
+    blocks = blocks_of(n, made, edge.sparkSession.sparkContext.defaultParallelism)
+    if made <= SHORT * blocks * n:
+        return count_pairs(exact_pairs(edge))
+    sizes = edge.groupBy(block_of(blocks).alias("block")).agg(F.count("*").alias("n")).where(F.col("n") > 2 * BLOCK_EDGES).collect()
+    return cell_counts(edge, blocks, least, {r.block: r.n for r in sizes})
+
+
+def blocks_of(n_edges: int, made: float, cores: int = 1) -> int:
+    """As many blocks of users that every core has a cell, as far as that stays cheaper than the join, and that neither a cell nor a block gets too large."""
+    blocks = lambda cell: math.ceil(math.sqrt(2 * made / cell))
+    enough = min(math.ceil((math.sqrt(8 * cores + 1) - 1) / 2), int(made // (SHORT * max(n_edges, 1))))
+    return max(1, enough, math.ceil(n_edges / BLOCK_EDGES), min(blocks(CELL), SPREAD), blocks(LARGE_CELL))
 
 
-def blocks_of(n_edges: int, made: float) -> int:
-    """As many blocks of users that there are tasks, and that neither a cell nor a block gets too large; every edge is shuffled once per block."""
-    blocks = lambda cell: math.ceil(math.sqrt(2 * made / cell))
-    return max(1, math.ceil(n_edges / BLOCK_EDGES), min(blocks(CELL), SPREAD), blocks(LARGE_CELL))
+def block_of(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("user_id"), F.lit(blocks))
 
 
-def cell_counts(edge: DataFrame, blocks: int, least: tuple[int, int] = (0, 0)) -> DataFrame:
+def cell_counts(edge: DataFrame, blocks: int, least: tuple[int, int] = (0, 0), hot: dict[int, int] | None = None) -> DataFrame:
     """``user1, user2, buy_count, pv_count`` of the pairs with at least so many buys or views, without a row per contribution.
 
     Users are dealt to blocks by hash. A block's edges make one compressed row, which goes to
     the cells of this block with each block; a pair meets in one cell alone, which counts it
     in full, a bounded number of contributions at a time.
+
+    ``hot`` names blocks with too many edges for a task, as where one user has half of all edges, and how many. Their cells
+    are split once more by items: every block's edges also make a row for each part of the items, parts of
+    a cell count what they have of a pair, and the pair's counts are added up.
     """
     kind = edge.schema["user_id"].dataType
+    hot = hot or {}
+    parts = max([1, *(-(-n // BLOCK_EDGES) for n in hot.values())])
     known = edge.where("item_id is not null and user_id is not null")
-    plain = known.select(F.pmod(F.xxhash64("user_id"), F.lit(blocks)).alias("block"), F.col("user_id").cast("long").alias("user"), F.col("item_id").cast("long").alias("item"), (F.col("behavior") == BUY).alias("buy"))
+    # part -1: all items
+    plain = known.select(block_of(blocks).alias("block"), F.lit(-1).cast("long").alias("part"), F.col("user_id").cast("long").alias("user"), F.col("item_id").cast("long").alias("item"), (F.col("behavior") == BUY).alias("buy"))
+    is_hot = lambda c: F.col(c).isin(list(hot)) if hot else F.lit(False)
+    wanted = plain.where(~is_hot("block"))
+    if hot:
+        wanted = wanted.union(plain.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts))))
     # a block takes a byte or two an edge; the shuffles of the edges go before the cells are dealt
     with dropped_shuffles(edge.sparkSession):
-        packed = cut(plain.groupBy("block").applyInArrow(pack_block, "block long, n long, edges binary"))
-    others = F.expr(f"explode(sequence(0L, {blocks - 1}L))")
-    dealt = packed.withColumn("other", others).select((F.least("block", "other") * blocks + F.greatest("block", "other")).alias("cell"), "n", "edges")
+        packed = cut(wanted.groupBy("block", "part").applyInArrow(pack_block, "block long, part long, n long, edges binary"))
+    dealt = packed.withColumn("other", F.expr(f"explode(sequence(0L, {blocks - 1}L))"))
+    # whole blocks meet whole blocks, parts meet where one of the two blocks is hot
+    dealt = dealt.where(F.when(F.col("part") < 0, ~is_hot("other")).otherwise(is_hot("block") | is_hot("other")))
+    cell = (F.least("block", "other") * blocks + F.greatest("block", "other")).alias("cell")
     # a number of partitions of its own: a cell's work is far more than its bytes tell
-    cells = dealt.repartition(min(blocks * (blocks + 1) // 2, TASKS), "cell").groupBy("cell").agg(F.collect_list(F.struct("n", "edges")).alias("sides"))
+    n_cells = blocks * (blocks + 1) // 2 + len(hot) * blocks * parts
+    cells = dealt.select(cell, "part", "n", "edges").repartition(min(n_cells, TASKS), "cell", "part").groupBy("cell", "part").agg(F.collect_list(F.struct("n", "edges")).alias("sides"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                cell = batch.column("cell")[i].as_py()
+                cell, part = batch.column("cell")[i].as_py(), batch.column("part")[i].as_py()
                 sides = [unpack_block(**x) for x in batch.column("sides")[i].as_py()]
                 own = cell // blocks == cell % blocks
                 if own or len(sides) == 2:
-                    yield from counted(sides[0], sides[-1], own, least)
+                    for found in counted(sides[0], sides[-1], own, least if part < 0 else (0, 0)):
+                        yield found.append_column("whole", pa.array(np.full(found.num_rows, part < 0)))
 
-    made = cells.mapInArrow(run, "user1 long, user2 long, buy_count int, pv_count int")
-    return made.select(*[F.col(c).cast(kind).alias(c) for c in ("user1", "user2")], *[F.col(c).cast("bigint").alias(c) for c in ("buy_count", "pv_count")])
+    made = cells.mapInArrow(run, "user1 long, user2 long, buy_count int, pv_count int, whole boolean")
+    named = made.select(*[F.col(c).cast(kind).alias(c) for c in ("user1", "user2")], *[F.col(c).cast("bigint").alias(c) for c in ("buy_count", "pv_count")], "whole")
+    if not hot:
+        return named.drop("whole")
+    named = cut(named)
+    added = named.where("not whole").groupBy("user1", "user2").agg(*[F.sum(c).alias(c) for c in ("buy_count", "pv_count")])
+    enough = F.lit(True) if 0 in least else (F.col("buy_count") >= least[0]) | (F.col("pv_count") >= least[1])
+    return named.where("whole").drop("whole").unionByName(added.where(enough))
 
 
 def pack_block(table: pa.Table) -> pa.Table:
@@ -163,7 +198,7 @@ def pack_block(table: pa.Table) -> pa.Table:
     user, item, buy = (table.column(c).to_numpy() for c in ("user", "item", "buy"))
     order = np.lexsort((item, buy, user))
     data = user[order].astype("<i8").tobytes() + item[order].astype("<i8").tobytes() + buy[order].astype(np.uint8).tobytes()
-    return pa.table({"block": table.column("block").slice(0, 1), "n": pa.array([len(order)], pa.int64()), "edges": pa.array([pa.compress(data, codec="zstd", asbytes=True)], pa.binary())})
+    return pa.table({"block": table.column("block").slice(0, 1), "part": table.column("part").slice(0, 1), "n": pa.array([len(order)], pa.int64()), "edges": pa.array([pa.compress(data, codec="zstd", asbytes=True)], pa.binary())})
 
 
 def unpack_block(n: int, edges: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,20 +212,24 @@ def counted(left: tuple, right: tuple, own: bool, least: tuple[int, int] = (0, 0
     Groups that make many contributions for the pairs there are become bits, 64 groups to a word, and are
     counted for all pairs; the contributions of the others are counted one by one.
     """
+    # users of both sides and groups (an item's buyers or viewers) as numbers from 0
     user, place = np.unique(left[0], return_inverse=True)
     partner, number = np.unique(right[0], return_inverse=True)
     items, code = np.unique(np.concatenate([left[1], right[1]]), return_inverse=True)
     code = 2 * code + np.concatenate([left[2], right[2]])  # odd: buys
     mine, theirs = code[: len(place)], code[len(place) :]
+    # users of the right side in each group, and contributions that it makes
     met_by = np.bincount(theirs, minlength=2 * len(items))
     made = np.bincount(mine, minlength=2 * len(items)) * met_by
     once = made.copy()
     once[np.concatenate([repeated(mine, place), repeated(theirs, number)])] = 0  # a bit can't say how often
     packed = [wide_groups(once, buy, len(user), len(partner)) for buy in (0, 1)]
     bits = [(words_of(groups, mine, place, len(user)), words_of(groups, theirs, number, len(partner))) for groups in packed]
+    # what is left for counting one by one: the left side's edges in groups without bits
     made[np.concatenate(packed)] = 0
     some = made[mine] > 0
     place, mine = place[some], mine[some]
+    # the right side's users by group; an edge of the left side meets a run of them
     met = number[np.argsort(theirs, kind="stable")]
     size = met_by[mine]
     first = np.cumsum(met_by)[mine] - size
@@ -200,19 +239,23 @@ def counted(left: tuple, right: tuple, own: bool, least: tuple[int, int] = (0, 0
     wide = any(map(len, packed))
     u = 0
     while u < len(user):
+        # users u to v, as many as make AT_ONCE contributions, or PAIRS pairs where bits are counted
         v = max(u + 1, int(np.searchsorted(upto, upto[u] + AT_ONCE, "right")) - 1)
         if wide:
             v = min(v, u + max(1, PAIRS // len(partner)))
         a, b = edge_of[u], edge_of[v]
+        # one element per contribution: the user x, its partner y, and whether both bought
         x = np.repeat(place[a:b], size[a:b])
         y = met[np.repeat(first[a:b] - ends[a:b], size[a:b]) + np.arange(ends[a], ends[b])]
         buy = np.repeat(mine[a:b] % 2 == 1, size[a:b])
         if own:
             later = y > x
             x, y, buy = x[later], y[later], buy[later]
+        # a pair's place in a grid of users u to v by partners; a block by itself has no partner up to u
         start = u + 1 if own and wide else 0
         width = len(partner) - start
         key = (x - u) * width + y - start
+        # the whole grid is counted where there are bits or it is a quarter full, else only the pairs that there are
         if wide or 4 * len(key) > (v - u) * width:
             pv, bought = (tally(*bits[b], u, v, start, key[buy == b]) for b in (0, 1))
             keep = passing(bought, pv, least).reshape(v - u, width)

@@ -14,7 +14,10 @@ from ..sources import readers, writers
 
 
 def pair_counts(obs: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Exact common buys and views of every pair of users that passes the thresholds."""
+    """Exact common buys and views of every pair of users that passes the thresholds.
+
+    Asking for it runs the jobs up to the edges, and those that pack the edges of large groups.
+    """
     cfg.validate()
     return ranking.passing_counts(pairs.exact_counts(pairs.capped_edges(obs, cfg), (cfg.min_buy, cfg.min_pv)), cfg)
 
@@ -78,7 +81,7 @@ def run_counts(spark: SparkSession, source: str, target: str, cfg: EngineConfig,
     lines = readers.read_lines(own_session(spark, metrics.WATCHED), source, min_partitions)
     edge, usable = watched_edges(lines, cfg, watch)
     kept = edge.join(usable.select(*postings.KEY), postings.KEY, "left_semi") if cfg.max_users_per_item > 0 else edge
-    out = ranking.passing_counts(pairs.exact_counts(kept, (cfg.min_buy, cfg.min_pv)), cfg)
+    out = ranking.passing_counts(pairs.exact_counts(kept, (cfg.min_buy, cfg.min_pv), written=kept is edge), cfg)
     out = watch.on(out, *[metrics.tally(f"{b}_generated", None, F.col(f"{b}_count")) for b in (BUY, PV)], metrics.tally("emitted_pairs"))
     out = out.persist() if persist else out
     writers.write_pairs(out, target, cfg.overwrite, ordered)

@@ -168,6 +168,45 @@ def test_cells_count_as_the_join(spark, monkeypatch, cell, block_edges):
     assert rows(got) == rows(pairs.count_pairs(pairs.exact_pairs(edge)))
 
 
+def test_a_user_with_half_of_all_edges_is_spread(spark, monkeypatch):
+    """Its block is split by items: no packed row holds more than a few edges over the bound, and pairs are added up."""
+    monkeypatch.setattr(pairs, "BLOCK_EDGES", 50)
+    made = [(0, i, "buy" if i % 3 else "pv") for i in range(400)] + [(u, (u * 7 + i * 13) % 400, "buy" if i % 2 else "pv") for u in range(1, 50) for i in range(8)]
+    edge = spark.createDataFrame(sorted(set(made)), "user_id long, item_id long, behavior string")
+    seen = spark.sparkContext.accumulator(0)
+    plain = pairs.pack_block
+
+    def pack(table):
+        seen.add(int(table.num_rows > 120))
+        return plain(table)
+
+    monkeypatch.setattr(pairs, "pack_block", pack)
+    for least in ((0, 0), (2, 3), (1, 2)):
+        blocks = 4
+        sizes = edge.groupBy(pairs.block_of(blocks).alias("block")).count().where("count > 100").collect()
+        assert sizes and len(sizes) < blocks
+        got = pairs.cell_counts(edge, blocks, least, {r.block: r["count"] for r in sizes})
+        want = pairs.count_pairs(pairs.exact_pairs(edge))
+        if 0 not in least:
+            want = want.where(f"buy_count >= {least[0]} or pv_count >= {least[1]}")
+        assert rows(got) == rows(want)
+    assert seen.value == 0
+
+
+def test_exact_counts_choose_by_cost(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "cell_counts", lambda *a: "cells")
+    short = spark.range(2000).selectExpr("id as user_id", "id div 10 as item_id", "'buy' as behavior")
+    assert pairs.exact_counts(short) != "cells" and pairs.exact_counts(group(spark, 60).select("user_id", "item_id", "behavior")) == "cells"
+    with pytest.raises(TypeError, match="user_id string"):
+        pairs.exact_counts(short.selectExpr("cast(user_id as string) user_id", "item_id", "behavior"))
+
+
+def test_every_core_has_a_cell():
+    for cores in (1, 4, 8, 300):
+        b = pairs.blocks_of(1000, 1000 * 500.0, cores)
+        assert b * (b + 1) // 2 >= cores and b <= 31  # 500 contributions an edge pay for 31 copies of it
+
+
 @pytest.mark.parametrize("at_once", [1, 40, 1 << 20])
 def test_contributions_are_counted_in_bounded_parts(monkeypatch, at_once):
     monkeypatch.setattr(pairs, "AT_ONCE", at_once)
