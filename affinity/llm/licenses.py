@@ -3,8 +3,10 @@
 A text is reduced to lower-case words. Base phrases count wherever their words stand
 consecutively. A notice of ``n`` characters is found within ``k`` edits by the pigeonhole
 principle: cut into ``k + 1`` seeds, any match holds one seed unchanged. One automaton
-finds all seeds in a linear pass over the reduced text; around each, the bounded-error
-matching of the regex library verifies the notice and reports its span in words.
+finds all seeds in a linear pass over the reduced text. Whole words that begin within ``k`` characters of where
+a seed puts the notice, and are within ``k`` characters as long, are candidates; the bounded-error
+matching of the regex library verifies each of them from end to end, and reports its span in words.
+Of candidates of one notice that overlap, the one with the fewest edits counts, the first of equals.
 
 Defined results: null text is empty, with no words, no labels and score 0; repeated rows
 are each scanned; a label found both ways is listed once; further columns of the input
@@ -62,7 +64,7 @@ class Scanner:
 
     def __init__(self, notices: list[tuple[str, str, int]] = NOTICES) -> None:
         self.notices = notices
-        self.patterns = [regex.compile(rf"(?<![^ ])(?e:(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}})(?![^ ])") for text, _, k in notices]
+        self.patterns = [regex.compile(rf"(?:{regex.escape(text, literal_spaces=True)}){{e<={k}}}", regex.BESTMATCH) for text, _, k in notices]
         self.seeds = ahocorasick.Automaton()
         found: dict[str, list[tuple[int, int]]] = {}
         for i, (text, _, k) in enumerate(notices):
@@ -74,24 +76,26 @@ class Scanner:
 
     def places(self, text: str) -> list[tuple[int, int, int, int]]:
         """Verified ``(notice, first character, end, edits)``, leftmost first, none overlapping one of its notice."""
-        windows: dict[int, list[list[int]]] = {}
+        borders = lambda low, high: [x for x in range(max(low, 0), min(high, len(text)) + 1) if x in (0, len(text)) or " " in text[x - 1 : x + 1]]
+        begins: dict[int, set[int]] = {}
         for last, (size, uses) in self.seeds.iter(text):
             for i, at in uses:
-                _, _, k = self.notices[i]
-                begin = last - size + 1 - at
-                low, high = max(0, begin - k), min(len(text), begin + len(self.notices[i][0]) + k)
-                own = windows.setdefault(i, [])
-                if own and low <= own[-1][1]:
-                    own[-1] = [min(low, own[-1][0]), max(high, own[-1][1])]
-                else:
-                    own.append([low, high])
+                k, begin = self.notices[i][2], last - size + 1 - at
+                begins.setdefault(i, set()).update(x for x in borders(begin - k, begin + k) if x < len(text) and text[x] != " ")
         out = []
-        for i, own in windows.items():
-            for low, high in own:
-                # a border beyond the window keeps the pattern's own border tests true to the text
-                for m in self.patterns[i].finditer(text, low, high):
-                    if (m.start() == 0 or text[m.start() - 1] == " ") and (m.end() == len(text) or text[m.end()] == " "):
-                        out.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
+        for i, own in begins.items():
+            notice, _, k = self.notices[i]
+            found = []
+            for a in own:
+                for b in borders(a + len(notice) - k, a + len(notice) + k):
+                    if b > a and text[b - 1] != " " and (m := self.patterns[i].fullmatch(text, a, b)):
+                        found.append((sum(m.fuzzy_counts), a, b))
+            taken: list[tuple[int, int]] = []
+            for edits, a, b in sorted(found):
+                at = bisect.bisect(taken, (a, b))
+                if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                    taken.insert(at, (a, b))
+                    out.append((i, a, b, edits))
         return sorted(out, key=lambda x: x[1:])
 
 

@@ -339,6 +339,37 @@ def test_pigeonhole_misses_no_edit():
             assert label in found["labels"].split(","), (text, "".join(letters))
 
 
+def within(a, b, k):
+    """Whether the edit distance of two texts is ``k`` at most: rows of the usual table, as far as k from its diagonal."""
+    if abs(len(a) - len(b)) > k:
+        return False
+    row = {j: j for j in range(min(len(b), k) + 1)}
+    for i, x in enumerate(a, 1):
+        row = {j: min(row.get(j - 1, 99) + (j == 0 or x != b[j - 1]), row.get(j, 99) + 1, 99) for j in range(max(0, i - k), min(len(b), i + k) + 1)}
+        for j in sorted(row)[1:]:
+            row[j] = min(row[j], row.get(j - 1, 99) + 1)
+    return row.get(len(b), 99) <= k
+
+
+def test_notices_equal_edit_distance():
+    """Insertions, deletions and replacements anywhere, both ends and borders of words included."""
+    scan, rng = licenses.scanner(), random.Random(8)
+    letters = "abcdeilnrstuy  "
+    for _ in range(1_000):  # none was lost of 10,000
+        text, _, k = rng.choice(licenses.NOTICES)
+        own = list(text)
+        for _ in range(rng.randrange(k + 3)):
+            at = rng.choice([0, len(own), rng.randrange(len(own) + 1), rng.randrange(len(own) + 1)])
+            own[at : at + rng.choice([0, 1, 1])] = rng.choice([[], [rng.choice(letters)], [rng.choice(letters)]])
+        words = f"{rng.choice(['', 'a c', 'some', 'x '])}{''.join(own)}{rng.choice(['', ' all', 'e', ' of it'])}".split()
+        got = licenses.scan_text(" ".join(words).encode(), scan)
+        spans = {(label, " ".join(words[a : b + 1])) for label, a, b, _ in got["spans"]}
+        for notice, label, most in licenses.NOTICES:
+            whole = [x for a in range(len(words)) for b in range(a + 1, len(words) + 1) for x in [" ".join(words[a:b])] if within(x, notice, most)]
+            assert not whole or label in got["labels"].split(","), (label, words)
+        assert all(any(within(x, n, m) for n, lab, m in licenses.NOTICES if lab == label) for label, x in spans), words
+
+
 def test_every_copy_of_a_notice_is_a_span():
     got = licenses.scan_text(b"all rigts reserved all rights reserved, all rigts reserved x", licenses.scanner())
     assert [(a, b) for label, a, b, _ in got["spans"] if label == "reserved"] == [(0, 2), (3, 5), (6, 8)]

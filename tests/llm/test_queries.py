@@ -7,11 +7,12 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from affinity.llm import common, queries, simhash
+from affinity.llm import common, licenses, queries, simhash
 
 from brute import Walker
 
@@ -70,6 +71,23 @@ def test_op5_counts_words(spark, docs):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
         at = [k for p in ("cc by", "general public license", "all rights reserved") for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
         assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word) == (len(words), len(at), min(at, default=None), max(at, default=None))
+        base = {label for p, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()}
+        # fewest edits of each notice over all runs of about as many words, by the regex library without seeds or windows
+        fuzzy = {}
+        for notice, label, most in licenses.NOTICES if len(words) < 150 else []:
+            found = []
+            pattern = regex.compile(f"(?:{notice}){{e<={most}}}", regex.BESTMATCH)
+            n = len(notice.split())
+            for k in range(len(words)):
+                for size in range(max(1, n - 3), n + 4):
+                    run = " ".join(words[k : k + size])
+                    if k + size <= len(words) and abs(len(run) - len(notice)) <= most and len(set(run) & set(notice)) > 6 and (m := pattern.fullmatch(run)):
+                        found.append(sum(m.fuzzy_counts))
+            if found:
+                fuzzy[notice, label] = min(found)
+        if len(words) < 150:
+            assert got[i].base_labels == ",".join(sorted(base)) and got[i].labels == ",".join(sorted(base | {label for _, label in fuzzy}))
+            assert got[i].score == pytest.approx(max([float(bool(base)), *(1 - e / len(n) for (n, _), e in fuzzy.items())]))
 
 
 def test_op7_packs_every_token(spark, docs):
