@@ -1,19 +1,21 @@
 """Reply trees as conversations.
 
-Messages name the message they reply to. Every leaf's path to its root is enumerated by
-self-joins that double: round k joins the paths found so far with the table of 2^k-th
-ancestors, and that table with itself, so a tree of depth d takes log2(d) rounds. The
-branches of a tree are ranked by score, and each chosen path becomes one conversation.
+Messages name the message they reply to. Self-joins that double tell every message's path to its root: round k joins
+the table of 2^k-th ancestors with itself, so a tree of depth d takes log2(d) rounds of one row
+per message. The rows carry what a branch is ranked by, the sum of the scores on the way. The branches of a
+tree, one per leaf, are ranked by their mean score, and only the chosen ones are written out message by
+message, by joining their paths with the ancestors of each round. Each becomes one conversation.
 
 A turn is written ``<|turn|>role<|text|>text</s>``. Inside of roles and texts a backslash
 is doubled and every control string gets a backslash behind its first character, so a
 control string in the result is always the template's own, and removing the backslashes
 gives the text back. The loss mask is the list of spans of the assistant's texts.
 
-Defined results: null roles and texts are empty; rows that repeat are turns each; a
-message whose parent is missing is a root; one that never reaches a root (a cycle) is in
-no conversation; a null tree id is a tree of its own; equal scores rank by the smaller
-leaf; an empty table gives no conversations; further columns are ignored.
+Defined results: null roles and texts are empty; of rows with one tree and message id the first by parent (null first), role,
+text and score is the message, so repeated rows change nothing (``chain`` gives every row an id of its
+own: there they are turns each); a message without an id is in no conversation; a message whose parent is missing is a
+root; one that never reaches a root (a cycle) is in no conversation; a null tree id is a tree of its
+own; equal scores rank by the smaller leaf; an empty table gives no conversations; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,43 +69,51 @@ def read_loss(formatted: str, spans: list[tuple[int, int]]) -> str:
     return "".join(unescape(formatted[a:b]) for a, b in spans)
 
 
-def branches(nodes: DataFrame) -> DataFrame:
-    """``(tree, leaf, node, up)`` of all root-to-leaf paths of ``nodes(tree, node, parent)``; up = steps above the leaf.
+def climbs(nodes: DataFrame) -> list[DataFrame]:
+    """``tree, node, above, sum, n`` by round: the 2^k-th ancestor of each node of ``nodes(tree, node, parent, score)``.
 
-    Every round joins on (tree, node), which is unique in the table of ancestors.
+    ``sum`` and ``n`` are those of the scores from the node to before ``above``; without one it has come past its
+    root, and they are those of its whole path. (tree, node) is unique, so each round has a row per
+    node. The last round has none left to go on, but for cycles, which get as many rounds as the largest tree may need.
     """
-    known = nodes.select("tree", F.col("node").alias("parent"))
-    up = cut(nodes.where("parent is not null").select("tree", "node", "parent").join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("above")))
-    leaves = nodes.select("tree", "node").join(up.select("tree", F.col("above").alias("node")), ["tree", "node"], "left_anti")
-    path = cut(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
-    roots = nodes.select("tree", "node").join(up.select("tree", "node"), ["tree", "node"], "left_anti")
-    size = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    step, jump = 1, up
-    while step <= size and not jump.isEmpty():
-        further = path.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
-        path = cut(path.union(further))
-        again = jump.select("tree", F.col("node").alias("above"), F.col("above").alias("top"))
-        jump = cut(jump.join(again, ["tree", "above"]).select("tree", "node", F.col("top").alias("above")))
+    known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
+    state = cut(nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("above"), "score", F.lit(1).cast("long").alias("n")).withColumnRenamed("score", "sum"))
+    rounds, size, step = [state], nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0, 1
+    while step <= size and not state.where("above is not null").isEmpty():
+        on = state.select("tree", F.col("node").alias("above"), F.col("above").alias("top"), F.col("sum").alias("more"), F.col("n").alias("further"))
+        going = state.where("above is not null").join(on, ["tree", "above"]).select("tree", "node", F.col("top").alias("above"), (F.col("sum") + F.col("more")).alias("sum"), (F.col("n") + F.col("further")).alias("n"))
+        state = cut(state.where("above is null").unionByName(going))
+        rounds.append(state)
         step *= 2
-    whole = path.join(roots, ["tree", "node"], "left_semi").select("tree", "leaf").distinct()
-    return path.join(whole, ["tree", "leaf"], "left_semi")
+    return rounds
+
+
+def branches(rounds: list[DataFrame], chosen: DataFrame) -> DataFrame:
+    """``tree, leaf, rank, node, up``: the paths from the leaves ``chosen(tree, leaf, rank)`` to their roots; up = steps above the leaf."""
+    path = chosen.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
+    for k, state in enumerate(rounds[:-1]):
+        jump = state.where("above is not null").select("tree", "node", "above")
+        further = path.join(jump, ["tree", "node"]).select("tree", "leaf", "rank", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        path = cut(path.union(further))
+    return path
 
 
 def conversations(messages: DataFrame, per_tree: int = 1) -> DataFrame:
     """``tree, leaf, rank, n_turns, formatted, loss_spans`` for the best ``per_tree`` branches of each tree.
 
-    ``messages(tree, node, parent, role, text, score)``: (tree, node) is unique, a branch's
-    score is the mean of its messages' scores, null counting 0.
+    ``messages(tree, node, parent, role, text, score)``; a branch's score is the mean of its messages' scores, null counting 0.
     """
-    # the key of a tree must join with itself, null included
-    keyed = cut(messages.withColumn("tree", F.coalesce(F.col("tree").cast("string"), F.lit("\0null"))))
-    path = cut(branches(keyed))
-    scored = path.join(keyed.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
-    order = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    chosen = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_tree).select("tree", "leaf", "rank")
-    turns = path.join(chosen, ["tree", "leaf"]).join(keyed.select("tree", "node", "role", "text"), ["tree", "node"])
-    turn = F.struct(F.negative("up").alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    gathered = turns.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    # the key of a tree must join with itself: a mark before every id tells them from none
+    key = F.coalesce(F.concat(F.lit("="), F.col("tree").cast("string")), F.lit("")).alias("tree")
+    turn = F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    keyed = cut(messages.where("node is not null").select(key, "node", turn.alias("turn")).groupBy("tree", "node").agg(F.min("turn").alias("turn")).select("tree", "node", "turn.*"))
+    rounds = climbs(keyed.select("tree", "node", "parent", "score"))
+    replied = rounds[0].where("above is not null").select("tree", F.col("above").alias("node"))
+    scored = rounds[-1].where("above is null").join(replied, ["tree", "node"], "left_anti")
+    order = Window.partitionBy("tree").orderBy(F.desc(F.col("sum") / F.col("n")), "node")
+    chosen = cut(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_tree).select("tree", F.col("node").alias("leaf"), "rank"))
+    turns = branches(rounds, chosen).join(keyed.select("tree", "node", "role", "text"), ["tree", "node"])
+    gathered = turns.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct(F.negative("up").alias("at"), "role", "text"))).alias("turns"))
 
     def write(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [write_conversation([(x["role"], x["text"]) for x in t]) for t in batch.column(3).to_pylist()]
@@ -112,7 +122,7 @@ def conversations(messages: DataFrame, per_tree: int = 1) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns[:3], sizes, pa.array([x[0] for x in found], pa.string()), spans], names=["tree", "leaf", "rank", "n_turns", "formatted", "loss_spans"])
 
     out = map_arrow(gathered.select("tree", "leaf", "rank", "turns"), write, "tree string, leaf long, rank int, n_turns long, formatted string, loss_spans array<array<long>>", rows=256)
-    return out.withColumn("tree", F.when(F.col("tree") != "\0null", F.col("tree")))
+    return out.withColumn("tree", F.when(F.col("tree") != "", F.expr("substring(tree, 2)")))
 
 
 def chain(rows: DataFrame, tree: Column, order: list) -> DataFrame:

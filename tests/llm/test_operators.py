@@ -418,6 +418,29 @@ def test_chain_digests(spark):
     assert (got[2].n_turns, got[2].turns_sha256) == (1, sha("\n\n")) and got[None].loss_chars == 1
 
 
+def test_repeated_messages_change_nothing(spark):
+    """Each message twice, and some with other texts or parents under the same id, in a chain of forty."""
+    schema = "tree string, node long, parent long, role string, text string, score double"
+    rows = [("t", i, i - 1 if i else None, "user", str(i), 0.5) for i in range(40)]
+    more = [*rows, *rows, ("t", 7, 6, "user", "9", 0.5), ("t", 7, 3, "zzz", "other", 9.0), (None, 1, None, "user", "no tree", 1.0), ("\0null", 1, None, "user", "a tree", 1.0), ("", 1, None, "user", "empty", 1.0), ("t", None, 3, "user", "no id", 99.0)]
+    got = {r.tree: r for r in chat.conversations(spark.createDataFrame(more, schema)).collect()}
+    assert set(got) == {"t", None, "\0null", ""} and got["t"].n_turns in (37, 40)
+    # of message 7, the row with the smaller parent counts
+    assert [t for _, t in chat.read_conversation(got["t"].formatted)] == [*"0123", "other", *map(str, range(8, 40))]
+    assert [chat.read_conversation(got[k].formatted)[0][1] for k in (None, "\0null", "")] == ["no tree", "a tree", "empty"]
+
+
+def test_a_broom_is_ranked_without_its_paths(spark):
+    """Leaves by the thousand on a long trunk: rows grow with messages and rounds, not with leaves by depth."""
+    trunk, leaves = 200, 3000
+    rows = [("t", i, i - 1 if i else None, "user", str(i), 0.0) for i in range(trunk)] + [("t", trunk + i, trunk - 1, "assistant", f"leaf {i}", float(i == 1234)) for i in range(leaves)]
+    nodes = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
+    rounds = chat.climbs(nodes.select("tree", "node", "parent", "score"))
+    assert len(rounds) <= 9 and all(r.count() == trunk + leaves for r in rounds[:2])
+    [got] = chat.conversations(nodes).collect()
+    assert got.leaf == trunk + 1234 and [t for _, t in chat.read_conversation(got.formatted)] == [*map(str, range(trunk)), "leaf 1234"]
+
+
 # --- 7 packing -----------------------------------------------------------------------------------
 
 
