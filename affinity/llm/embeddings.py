@@ -113,9 +113,9 @@ def shared_bits(pass_a: np.ndarray, key_a: np.ndarray, pass_b: np.ndarray, key_b
 
 def windows(nodes: DataFrame, dim: int, threshold: float, window: int, passes: int, number: int = 0) -> tuple[DataFrame, DataFrame]:
     """``(a, b)`` links that span those found in all passes; and ``(node, pass, bits)`` shared with the rows ``window`` places away. Passes are numbered from ``number``."""
-    planes = np.random.default_rng(20 + number).standard_normal((passes, dim, 64))
 
     def keys(batches):
+        planes = np.random.default_rng(20 + number).standard_normal((passes, dim, 64))  # the same in every task
         for batch in batches:
             for begin in range(0, batch.num_rows, 2048):
                 part = batch.slice(begin, 2048)
@@ -222,12 +222,17 @@ def exact_links(members: DataFrame, dim: int, threshold: float) -> DataFrame:
     total = members.count()
     part = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("size", F.lit(total)) / STRIPE_ROWS))
     striped = cut(members.join(sizes, "component", "left").select("component", "node", "v", "own", part.alias("part")))
+    # one number per stripe, and those of its component's: the driver has a row per STRIPE_ROWS vectors, cells are made on the executors
     stripes = striped.select("own", "part").distinct().orderBy("own", "part").collect()
-    pairs = [(i, j) for i, x in enumerate(stripes) for j, y in enumerate(stripes[i:], i) if x.own is None or x.own != y.own]
-    if not pairs:
+    count = len(stripes)
+    low: dict[int | None, int] = {}
+    high: dict[int | None, int] = {}
+    for i, x in enumerate(stripes):
+        low.setdefault(x.own, i)
+        high[x.own] = i
+    if count < 2 and (not stripes or stripes[0].own is not None):
         return members.sparkSession.createDataFrame([], "a long, b long")
-    dealt = [(x.own, x.part, i * len(stripes) + j, side) for i, j in pairs for side, x in ([(0, stripes[i]), (1, stripes[j])] if i != j else [(2, stripes[i])])]
-    cells = members.sparkSession.createDataFrame(dealt, "own long, part long, cell long, side int")
+    numbers = members.sparkSession.createDataFrame([(x.own, x.part, i, low[x.own], high[x.own]) for i, x in enumerate(stripes)], "own2 long, part2 long, i long, low long, high long")
 
     def compare(table: pa.Table) -> pa.Table:
         node, side, component = (table.column(k).to_numpy() for k in ("node", "side", "component"))
@@ -246,9 +251,11 @@ def exact_links(members: DataFrame, dim: int, threshold: float) -> DataFrame:
         moved = np.flatnonzero((labels != start) & (start == np.arange(len(m))))
         return pa.table({"a": pa.array(node[moved]), "b": pa.array(node[labels[moved]])})
 
-    to = F.broadcast(cells.withColumnsRenamed({"own": "own2", "part": "part2"}))
-    joined = striped.join(to, F.col("own").eqNullSafe(F.col("own2")) & (F.col("part") == F.col("part2")))
-    return joined.select("component", "node", "v", "cell", "side").groupBy("cell").applyInArrow(compare, "a long, b long")
+    numbered = striped.join(numbers, F.col("own").eqNullSafe(F.col("own2")) & (F.col("part") == F.col("part2")))
+    met = numbered.withColumn("j", F.expr(f"explode(sequence(0L, {count - 1}L))")).where(F.col("own").isNull() | ~F.col("j").between(F.col("low"), F.col("high")))
+    side = F.when(F.col("i") < F.col("j"), 0).when(F.col("i") > F.col("j"), 1).otherwise(2)
+    dealt = met.select("component", "node", "v", (F.least("i", "j") * count + F.greatest("i", "j")).alias("cell"), side.alias("side"))
+    return dealt.groupBy("cell").applyInArrow(compare, "a long, b long")
 
 
 def count_links(members: DataFrame, dim: int, threshold: float) -> DataFrame:
