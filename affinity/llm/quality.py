@@ -197,7 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
         a, b = views_of(batch)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary()), batch.column(batch.num_columns - 1)], names=["doc_id", "content", "page", "label"])
 
-    rows = sorted(map_arrow(sample, features, "doc_id long, content binary, page binary, label int", rows=256).collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.content))
+    # one row of each id, however often it is repeated: the driver gets as many rows as ids were drawn
+    found = map_arrow(sample, features, "doc_id long, content binary, page binary, label int", rows=256)
+    single = found.groupBy("doc_id").agg(F.min(F.struct("content", "page", "label")).alias("row")).select("doc_id", "row.*")
+    rows = sorted(single.collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.content))
     if not rows:
         return Model()
     read = lambda name: np.stack([np.frombuffer(r[name], np.float32) for r in rows])

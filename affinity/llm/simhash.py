@@ -199,7 +199,7 @@ def keep_one(docs: DataFrame, bits: int = 2, shingle: int = 3) -> DataFrame:
     # a row's id and text in 128 bits: the row chosen is told by them, whatever ids are null or repeated
     long, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     names = fresh(docs, "key_one", "key_two")
-    key = [F.xxhash64(long, text).alias(names[0]), F.xxhash64(text, long).alias(names[1])]
+    key = [F.xxhash64(long, text).alias(names[0]), F.xxhash64(F.lit(1), text, long).alias(names[1])]  # nulls are passed over: the number tells the two apart
     found = near_duplicates(docs.select("doc_id", "text", *key), bits, shingle, carry=tuple(names))
     chosen = found.where("doc_id <=> component_id").groupBy("component_fp").agg(F.min(F.struct(*names)).alias("k")).select(*[f"k.{n}" for n in names])
     # one key for both steps, so that documents are dealt out once
