@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: the constants of SplitMix64, below
+from .shuffle import GAMMA, MIX_A, MIX_B
+
 #: What counts as white space around a field; the plain trim takes spaces only.
 BLANKS = " \t\r\n\x0b\x0c"
 
@@ -60,18 +60,46 @@ def native_order(item: Column, behavior: Column, seed: int, user: Column) -> Col
     return F.md5(F.concat_ws("|", item.cast("string"), behavior, F.lit(str(seed)), user.cast("string")))
 
 
-def stable_hash_hex(value: Column, seed: int) -> Column:
-    """The SplitMix64 output for value xor seed as 16 hex digits: text order is unsigned order."""
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: The low half of 64 bits.
+HALF = (1 << 32) - 1
+
+
+def joined(high: Column, low: Column) -> Column:
+    """64 bits of two halves, what is above their 32 bits carried or dropped."""
+    return F.shiftleft(high + F.shiftrightunsigned(low, 32), 32).bitwiseOR(low.bitwiseAND(F.lit(HALF)))
+
 
-    @F.pandas_udf("string")
-    def hashed(value: pd.Series) -> pd.Series:
-        import numpy as np
+def plus(x: Column, constant: int) -> Column:
+    """The sum in 64 bits; Spark's own raises an error beyond them."""
+    return let(x.bitwiseAND(F.lit(HALF)) + (constant & HALF), lambda low: joined(F.shiftrightunsigned(x, 32) + (constant >> 32), low))
 
-        with np.errstate(over="ignore"):
-            x = (value.to_numpy(np.int64) ^ np.int64(seed)).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-        return pd.Series([f"{v:016x}" for v in x.tolist()])
 
-    return hashed(value.cast("bigint"))
+def times(x: Column, constant: int) -> Column:
+    """The product in 64 bits: halves of ``x`` times sixteen bits of the constant each stay below 2**48."""
+    part = [constant >> at & 0xFFFF for at in (0, 16, 32, 48)]
+
+    def of_halves(low: Column, high: Column) -> Column:
+        above = high * part[0] + F.shiftleft((high * part[1]).bitwiseAND(F.lit(0xFFFF)), 16)
+        above = above + (low * part[2]).bitwiseAND(F.lit(HALF)) + F.shiftleft((low * part[3]).bitwiseAND(F.lit(0xFFFF)), 16)
+        first, second = low * part[0], low * part[1]
+        above = above + F.shiftrightunsigned(first, 32) + F.shiftrightunsigned(second, 16)
+        return let(first.bitwiseAND(F.lit(HALF)) + F.shiftleft(second.bitwiseAND(F.lit(0xFFFF)), 16), lambda sum_: joined(above, sum_))
+
+    return let(x.bitwiseAND(F.lit(HALF)), lambda low: let(F.shiftrightunsigned(x, 32), lambda high: of_halves(low, high)))
+
+
+def folded(x: Column, bits: int) -> Column:
+    return let(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, bits)))
+
+
+def stable_hash_hex(value: Column, seed: int) -> Column:
+    """The SplitMix64 output for value xor seed as 16 hex digits: text order is unsigned order."""
+    x = let(value.cast("bigint").bitwiseXOR(F.lit(seed).cast("bigint")), lambda v: plus(v, GAMMA))
+    x = let(folded(x, 30), lambda v: times(v, MIX_A))
+    x = let(folded(x, 27), lambda v: times(v, MIX_B))
+    return F.lower(F.lpad(F.hex(folded(x, 31)), 16, "0"))

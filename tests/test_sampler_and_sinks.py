@@ -1,6 +1,7 @@
 """The sampler, readers of CSV, sinks and the command line."""
 
 import json
+import random
 
 import pytest
 
@@ -18,6 +19,24 @@ def test_stable_hash_goldens(spark):
     assert {r.v: int(r.h, 16) for r in got} == want
 
 
+def test_stable_hash_equals_whole_numbers_of_python(spark):
+    from pyspark.sql import functions as F
+
+    rng, mask = random.Random(2), (1 << 64) - 1
+    values = [0, -1, 1, 2**63 - 1, -(2**63), 2**32, 2**32 - 1, *(rng.getrandbits(64) - 2**63 for _ in range(300))]
+
+    def hashed(v, seed):
+        x = ((v ^ seed) + 0x9E3779B97F4A7C15) & mask
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return f"{x ^ x >> 31:016x}"
+
+    for seed in (0, 20260703, 2**62 + 12345):
+        df = spark.createDataFrame([(v,) for v in values], "v long").select("v", stable_hash_hex(F.col("v"), seed).alias("h"))
+        assert {r.v: r.h for r in df.collect()} == {v: hashed(v, seed) for v in values}
+        assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(("sizes", "budget", "want"), [([40, 70, 30, 50, 10], 100, [0, 2, 4]), ([5], 4, []), ([], 9, []), ([3, 3, 3], 9, [0, 1, 2])])
 def test_greedy_skips_and_goes_on(spark, sizes, budget, want):
     df = spark.createDataFrame([(i, n, 0, f"{i:016x}") for i, n in enumerate(sizes)], "user_id long, size long, score long, h string")
@@ -42,6 +61,32 @@ def test_greedy_over_many_ranges_equals_a_walk(spark):
         assert got == used and sorted(r.user_id for r in taken.collect()) == sorted(want)
 
 
+def test_greedy_takes_one_round_per_power_of_two(spark, monkeypatch):
+    """Sizes that each leave room for one small profile more, by the thousand, and a budget that never fills."""
+    rounds = []
+    plain = sampler.first_stop
+    monkeypatch.setattr(sampler, "first_stop", lambda *a: rounds.append(1) or plain(*a))
+    sizes = [x for k in range(1500) for x in (1, 3000 - k)]
+    df = spark.createDataFrame([(i, n, 0, f"{i:016x}") for i, n in enumerate(sizes)], "user_id long, size long, score long, h string")
+    for budget in (1000, 3000, 4400):
+        rounds.clear()
+        used, want = 0, []
+        for i, n in enumerate(sizes):
+            if used + n <= budget:
+                want.append(i)
+                used += n
+        taken, got = sampler.greedy(df, 0, budget)
+        assert (sorted(r.user_id for r in taken.collect()), got) == (want, used) and len(rounds) <= budget.bit_length() + 1
+
+
+def test_nearest_rank_equals_sorting(spark):
+    rng = random.Random(4)
+    for values in ([7] * 50, [-5, -5, 3], [rng.randrange(-(2**62), 2**62) for _ in range(500)], [rng.choice([1, 2, 2, 3, 900_000]) for _ in range(400)], [2**63 - 1, -(2**63), 0]):
+        stats = spark.createDataFrame([(v,) for v in values], "total long")
+        got = sampler.nearest_rank(stats, "total", {"low": 0.1, "mid": 0.5, "high": 0.95})
+        assert got == {name: sorted(values)[round((len(values) - 1) * f)] for name, f in (("low", 0.1), ("mid", 0.5), ("high", 0.95))}
+
+
 def test_nearest_rank_rounds_half_to_even(spark):
     for n, fraction, want in ((11, 0.95, 10), (6, 0.5, 2), (4, 0.5, 2)):
         stats = spark.createDataFrame([(i,) for i in range(n)], "total long")
