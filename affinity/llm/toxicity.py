@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, labelled: int = LABELLED) ->
                 size.append(len(words))
             return pa.RecordBatch.from_pydict({"s": pa.array(best, pa.float64()), "n": pa.array(size, pa.int64())})
 
-        # K: of the other documents, those above the median positive score tell the tail
+        # K: of the other documents, those above the 0.9 quantile of positive scores tell the tail
         null = np.array([(r.s, r.n) for r in map_arrow(sample.where("label = 0").select("text"), highest, "s double, n long").collect()], float).reshape(-1, 2)
         level = np.quantile(null[null[:, 0] > 0, 0], 0.9) if (null[:, 0] > 0).any() else 1.0
         tail = ((null[:, 0] >= level).sum() + 0.5) / (len(null) + 1)

@@ -1,0 +1,191 @@
+"""Whole results of queries and of the pipeline against brute force, held-out labels and odd tables."""
+
+import math
+import os
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from affinity.llm import html_text, quality, queries
+
+DATA = "/root/testdata/sf0.001"
+#: Enough toxic documents to learn from.
+LARGE = "/root/testdata/sf0.1"
+pytestmark = pytest.mark.skipif(not os.path.isdir(LARGE), reason="no test tables")
+
+
+def test_op1_finds_held_out_toxic_documents(spark):
+    got = queries.op1_toxicity(spark, LARGE).where("held_out").join(queries.table(spark, LARGE, "labels"), "doc_id").select("toxic", "predicted", "score").collect()
+    toxic, clean = ([r for r in got if r.toxic == t] for t in (1, 0))
+    assert len(toxic) > 100 and sum(r.predicted for r in toxic) >= 0.85 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
+    # a toxic document scores above a clean one
+    order = np.argsort(np.argsort([r.score for r in clean + toxic], kind="stable"))
+    above = (order[len(clean) :].sum() - len(toxic) * (len(toxic) - 1) / 2) / (len(toxic) * len(clean))
+    assert above >= 0.95
+
+
+def page_of(rng):
+    """A page of plain containers, named in no way: lists of links, captions of few words, and the text."""
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 8))) for _ in range(n))
+    text = [f"{words(12)}, {words(9)}. {words(14)}." for _ in range(rng.randrange(4, 9))]
+    links = lambda n: "<ul>" + "".join(f"<li><a href=/{i}>{words(2)}</a></li>" for i in range(n)) + "</ul>"
+    body = "".join(f"<p>{x}</p>" for x in text)
+    boxes = [f"<div>{links(8)}</div>", f"<div><div>{body}</div></div>", f"<div>{links(rng.randrange(3, 12))}</div>", f"<div><span>{words(2)}</span></div>"]
+    order = [0, *rng.sample([1, 2], 2), 3]
+    return "<html><body>" + "".join(boxes[i] for i in order) + "</body></html>", "\n".join(text)
+
+
+def test_op2_ratios_decide_where_nothing_names_the_text(spark, monkeypatch):
+    """Without names the ratios of paths alone tell the text; were they all the same, the pages would keep their links.
+
+    In the given tables every page has one article and no block of it falls by its ratio: there the rows are those of the
+    articles without what is named as something else.
+    """
+    rng = random.Random(12)
+    pages = [page_of(rng) for _ in range(60)]
+    table = spark.createDataFrame([(i, f"u{i}", page) for i, (page, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(table).collect()}
+    assert got == {i: text for i, (_, text) in enumerate(pages)}
+    monkeypatch.setattr(html_text, "path_ratios", lambda page, blocks: (np.ones(len(blocks)), np.ones(len(blocks))))
+    assert sum(html_text.main_text(page) != text for page, text in pages) == len(pages)
+
+
+def subsequence(a, b):
+    row = np.zeros(len(b) + 1, int)
+    for x in a:
+        same = np.array([x == y for y in b])
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(same, row[:-1] + 1, 0)))
+    return int(row[-1])
+
+
+def test_op8_equals_plain_cosines_over_all_words(spark):
+    """Every passage of every document with every item: cosine over all words, then words in order and answer.
+
+    On this prose the latent space adds nothing to shared words; that it finds paraphrases is held in ``test_operators``.
+    """
+    split = lambda text: "".join(c.lower() if c.isascii() and c.isalnum() or not c.isascii() else " " for c in text or "").split(" ")
+    words_of = lambda text: [w for w in split("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if w]
+    docs = {r.doc_id: words_of(r.text) for r in queries.table(spark, DATA, "documents").collect()}
+    items = {r.item_id: words_of(r.text) for r in queries.table(spark, DATA, "benchmark").collect()}
+    df = Counter(w for words in docs.values() for w in set(words))
+    idf = lambda w: math.log((1 + len(docs)) / (1 + df[w])) + 1
+    vector = lambda words: {w: math.sqrt(n) * idf(w) for w, n in Counter(words).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    own = {i: vector(words) for i, words in items.items()}
+    by_length = {}
+    for i, words in items.items():
+        length = 12
+        while length < len(words):
+            length = length * 3 // 2
+        by_length.setdefault(length, []).append(i)
+    want = set()
+    for d, words in docs.items():
+        for length, some in by_length.items():
+            begins = [0] if len(words) <= length else [*range(0, len(words) - length, max(1, length // 4)), len(words) - length]
+            for begin in begins:
+                passage = vector(words[begin : begin + length])
+                for i in some:
+                    dot = sum(x * passage.get(w, 0.0) for w, x in own[i].items())
+                    if dot < 0.5 * norm(own[i]) * norm(passage) or not dot:
+                        continue
+                    span, answer = words[max(0, begin - length // 2) : begin + length + length // 2], items[i][-max(3, len(items[i]) // 4) :]
+                    need = max(0.6 * len(items[i]), min(len(items[i]), 8))
+                    if subsequence(items[i], span) >= need and subsequence(answer, span) >= 0.5 * len(answer):
+                        want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in queries.op8_decontamination(spark, DATA).collect()}
+    assert got == want and want
+
+
+def test_op9_tells_labels_that_it_has_not_seen(spark):
+    data = "/root/testdata/sf0.01"
+    docs, labels = queries.table(spark, data, "documents"), queries.table(spark, data, "labels").select("doc_id", "quality")
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    for own in (0, 1):
+        model = quality.fit(docs, labels.where(half == own))
+        got = quality.score(docs, model).join(labels.where(half != own), "doc_id").collect()
+        assert sum(r.kept == bool(r.quality) for r in got) >= 0.95 * len(got) and {r.quality for r in got} == {0, 1}
+
+
+def test_quality_collects_one_row_of_an_id(spark, monkeypatch):
+    rows = [(i % 40, f"text {i % 40} some words. " * (1 + i % 40 % 3)) for i in range(40)] + [(7, "text 7 some words. ")] * 3000
+    seen = []
+    monkeypatch.setattr(quality, "co_train", lambda content, page, label: seen.append(len(label)) or quality.Model())
+    quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int"))
+    assert seen == [40]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Tables with few documents: nulls, empty and long texts, repeated rows, ids without text, further columns."""
+    at = tmp_path_factory.mktemp("odd")
+    some = queries.table(spark, DATA, "documents").where("doc_id < 60")
+    texts = [(None, "no id, but some words. " * 9), (None, None), (1000, None), (1001, ""), (1002, " \t"), (1003, "long words go on. " * 4000), (1004, "same text twice, here. " * 7), (1004, "same text twice, here. " * 7), (1005, "same text twice, here. " * 7)]
+    more = spark.createDataFrame([(i, t, None, None, None) for i, t in texts], some.schema)
+    some.unionByName(more).withColumn("score", F.lit(1)).withColumn("component_id", F.lit("x")).withColumn("key_one", F.lit(None).cast("int")).write.parquet(f"{at}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        queries.table(spark, DATA, name).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+def test_pipeline_on_odd_rows(spark, odd):
+    docs = queries.table(spark, odd, "documents")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, odd)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        kept[name] = docs.count()
+    assert sorted(kept.values(), reverse=True) == list(kept.values())
+    pieces = corpus_pipeline.run(spark, odd).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()}
+    texts = [r.text for r in docs.collect()]
+    assert texts.count("same text twice, here. " * 7) <= 1
+    placed = Counter()
+    for r in pieces:
+        placed[r.sequence_id] += r.length
+    assert max(placed.values()) <= 4096
+    for s in placed:  # gapless from 0
+        at = 0
+        for offset, length in sorted((r.offset, r.length) for r in pieces if r.sequence_id == s):
+            assert offset == at
+            at += length
+
+
+def test_pipeline_on_an_empty_table(spark, odd, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        queries.table(spark, odd, name).limit(0 if name == "documents" else 50).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_op7_offsets_are_gapless(spark):
+    got = queries.op7_packing(spark, DATA).collect()
+    by_sequence = {}
+    for r in got:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in by_sequence.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 4096
+
+
+def test_op4_fingerprints_by_hand(spark):
+    """Fingerprints without the operator's code: words, shingles of three, and a vote on each bit."""
+    import xxhash
+
+    for r in queries.op4_simhash(spark, DATA).join(queries.table(spark, DATA, "documents"), "doc_id").select("text", "fingerprint").collect():
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or "")
+        for blank in "\t\n\x0b\x0c\r":
+            words = words.replace(blank, " ")
+        words = [w for w in words.split(" ") if w]
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert r.fingerprint == f"{bits:016x}"
+
