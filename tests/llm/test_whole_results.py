@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from affinity.llm import html_text, quality, queries
+from affinity.llm import decontamination, html_text, quality, queries
 
 DATA = "/root/testdata/sf0.001"
 #: Enough toxic documents to learn from.
@@ -189,3 +189,16 @@ def test_op4_fingerprints_by_hand(spark):
         bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
         assert r.fingerprint == f"{bits:016x}"
 
+
+
+def test_op8_items_in_portions(spark, monkeypatch):
+    """Each portion's index goes when the next one comes; the pairs are those of one portion."""
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 7))) for _ in range(n))
+    items = [(i, words(20)) for i in range(5)]
+    docs = [(i, f"{words(60)} {items[i][1] if i < 5 else ''} {words(30)}") for i in range(12)]
+    table, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontamination, "SCANNED", 2)
+    got = decontamination.contaminated(table, asked)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(i, i) for i in range(5)}
+    assert {r.doc_id for r in decontamination.keep_clean(table, asked).collect()} == set(range(5, 12))
