@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BUY, PV, EngineConfig
 from ..functions.columns import is_finite
+from .lineage import own_session
 from .postings import planned
 
 
@@ -29,8 +30,15 @@ class Watch:
         return {name: int(n or 0) for o in self.seen for name, n in o.get.items()}
 
 
-#: What a session needs for the places to be there at the end: a plan found to be empty is not to be replaced.
-WATCHED = {"spark.sql.adaptive.optimizer.excludedRules": "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"}
+#: Would replace a plan found to be empty, and the places in it.
+DROPS_EMPTY = "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
+
+
+def watched_session(spark: SparkSession) -> SparkSession:
+    """A session in which the places that a ``Watch`` chose are there to the end of a run."""
+    name = "spark.sql.adaptive.optimizer.excludedRules"
+    return own_session(spark, {name: ",".join(filter(None, [spark.conf.get(name, None), DROPS_EMPTY]))})
+
 
 STATUSES = ("BUY", "PV", "FILTERED", "HEADER", "INVALID")
 

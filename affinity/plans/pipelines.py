@@ -1,4 +1,4 @@
-"""The engine's two pipelines and the sampler, plans from log to result; exact counts look at the group sizes, and pack the edges of large groups, first."""
+"""The engine's two pipelines and the sampler, plans from log to result; runs that write count their steps as they go."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import BUY, PV, EngineConfig, SamplerConfig
 from ..operators import metrics, pairs, postings, ranking, sampler
-from ..operators.lineage import cut, own_session
+from ..operators.lineage import cut
 from ..sources import readers, writers
 
 
@@ -78,7 +78,7 @@ def run_counts(spark: SparkSession, source: str, target: str, cfg: EngineConfig,
     writers.guard(source, target)
     cfg.validate()
     watch = metrics.Watch()
-    lines = readers.read_lines(own_session(spark, metrics.WATCHED), source, min_partitions)
+    lines = readers.read_lines(metrics.watched_session(spark), source, min_partitions)
     edge, usable = watched_edges(lines, cfg, watch)
     kept = edge.join(usable.select(*postings.KEY), postings.KEY, "left_semi") if cfg.max_users_per_item > 0 else edge
     out = ranking.passing_counts(pairs.exact_counts(kept, (cfg.min_buy, cfg.min_pv), written=kept is edge), cfg)
@@ -100,7 +100,7 @@ def run_top(spark: SparkSession, source: str | None, target: str, cfg: EngineCon
     """
     writers.guard(*([source] if source else []), target, *([stages] if stages else []))
     cfg.validate()
-    watch, own = metrics.Watch(), own_session(spark, metrics.WATCHED)
+    watch, own = metrics.Watch(), metrics.watched_session(spark)
     if source is None:
         edge = postings.chunk_edges(own.read.parquet(f"{stages}/postings"))
         plan = postings.usable(cut(postings.planned(postings.degrees(edge), cfg)), cfg)

@@ -10,14 +10,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import EngineConfig, SamplerConfig
 from .functions.columns import behavior_code, behavior_name, stable_hash_hex
 from .functions.shuffle import GAMMA, MIX_A, MIX_B, SHORT_A, SHORT_B
 from .operators import metrics, pairs, postings, ranking, sampler
-from .operators.lineage import cut, own_session, shared_folder
+from .operators.lineage import cut, shared_folder
 from .plans import pipelines
 from .sources import readers, writers
 
@@ -189,7 +189,7 @@ def csv_lines(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "events").select(F.col("user_id").cast("string").alias("user"), item().cast("string").alias("item"), awkward(behavior(), False).alias("behavior"), (F.col("event_id") + 1700000000).cast("string").alias("ts"))
     place = scratch(s)
     writers.write_events(rows, place)
-    return readers.read_lines(s, place)
+    return readers.read_lines(s, place, min_partitions=16)
 
 
 def posting_chunk_lists(s: SparkSession, d: str) -> DataFrame:
@@ -210,13 +210,35 @@ def postings_resumed(s: SparkSession, d: str) -> DataFrame:
     return ranking.top_k(ranking.directed(ranking.passing_scores(ranking.scores(pairs.count_pairs(made), CFG), CFG)), CFG.top_k)
 
 
+def sampler_report(s: SparkSession, d: str) -> DataFrame:
+    """The numbers of the report beside a sampled CSV, read back: sizes, rows, thresholds, composition."""
+    raw = table(s, d, "events").select(F.col("user_id").cast("string").alias("user"), item().cast("string").alias("item"), F.lit("7").alias("category"), behavior().alias("behavior"), (F.col("event_id") + 1700000000).cast("string").alias("ts"))
+    place = scratch(s)
+    writers.write_csv(raw, f"{place}/log")
+    pipelines.run_sampler(s, f"{place}/log", f"{place}/out", sampler_config(events5(s, d)))
+    report = s.read.json(f"{place}/out.report.json", multiLine=True)
+    plain = [F.col(c) for c in ("valid_source_rows", "source_users", "selected_users", "rows_written", "actual_output_bytes")]
+    row = report.select(*plain, "thresholds.*", "composition.*").first()
+    return s.createDataFrame(sorted(row.asDict().items()), "name string, value long")
+
+
+def pairs_ordered(s: SparkSession, d: str) -> DataFrame:
+    """Pair files written in order: lines, and how many stand before a smaller one of their file."""
+    place = scratch(s)
+    writers.write_pairs(pipelines.pair_counts(obs(s, d), CFG), place, ordered=True)
+    pair = F.transform(F.split(F.split("value", "\t")[0], ","), lambda x: x.cast("bigint"))
+    rows = s.read.text(place).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), pair.alias("pair"))
+    after = F.lead("pair").over(Window.partitionBy("file").orderBy("at"))
+    return rows.withColumn("after", after).agg(F.count("*").alias("lines"), F.count_if(F.col("pair") > F.col("after")).alias("misplaced"))
+
+
 COUNTED = EngineConfig(has_header=True, sample_seed=7, min_score=1.0, top_k=10)
 
 
 def run_counters(s: SparkSession, d: str) -> DataFrame:
     """All counters of a top run over raw lines, added up by the run itself."""
     watch = metrics.Watch()
-    edge, plan = pipelines.watched_edges(lines(own_session(s, metrics.WATCHED), d), COUNTED, watch)
+    edge, plan = pipelines.watched_edges(lines(metrics.watched_session(s), d), COUNTED, watch)
     lists = pipelines.watched_lists(pipelines.watched_scores(edge, plan, COUNTED, watch), COUNTED, watch)
     lists.write.format("noop").mode("overwrite").save()
     return s.createDataFrame(sorted(pipelines.top_counters(watch).items()), "name string, value long")
@@ -233,6 +255,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "posting_chunk_lists": posting_chunk_lists,
     "postings_resumed": postings_resumed,
     "run_counters": run_counters,
+    "sampler_report": sampler_report,
+    "pairs_ordered": pairs_ordered,
     "distinct_edges": lambda s, d: postings.edges(obs(s, d)),
     "posting_lists": posting_lists_query,
     "posting_degrees": lambda s, d: postings.degrees(postings.edges(sales(s, d))),
@@ -418,6 +442,12 @@ ORACLES: dict[str, str] = {
     "posting_chunk_lists": f"WITH {OBS}, {EDGE} SELECT item_id, behavior, string_agg(user_id::varchar, ' ' ORDER BY user_id) AS users, true AS short FROM edge GROUP BY ALL HAVING count(*) >= 2",
     "postings_resumed": f"WITH {TOP} SELECT user_id, rank::int AS rank, similar_user, score FROM top",
     "run_counters": counters_sql(),
+    "sampler_report": f"""{SAMPLER}, kept AS (SELECT * FROM e5 WHERE user_id IN (SELECT user_id FROM chosen)), names(name, stage) AS (VALUES ('core_users', 'core'), ('neighbor_users', 'neighbor'), ('low_outlier_users', 'low'), ('high_outlier_users', 'high'), ('fill_users', 'fill'))
+        SELECT 'valid_source_rows' AS name, count(*) AS value FROM e5 UNION ALL SELECT 'source_users', count(*) FROM stats UNION ALL SELECT 'selected_users', count(*) FROM chosen UNION ALL SELECT 'rows_written', count(*) FROM kept
+        UNION ALL SELECT 'actual_output_bytes', sum(length(u) + length(i) + length(behavior) + length(ts) + 4)::BIGINT FROM kept UNION ALL (UNPIVOT (SELECT * FROM limits) ON COLUMNS(*) INTO NAME name VALUE value)
+        UNION ALL SELECT name, count(chosen.stage) FROM names LEFT JOIN chosen USING (stage) GROUP BY name UNION ALL SELECT 'total_selected_users', count(*) FROM chosen
+        UNION ALL SELECT 'anchor_item_behavior_keys', count(*) FROM anchors UNION ALL SELECT 'neighbor_candidates', count(*) FROM near""",
+    "pairs_ordered": f"WITH {OBS}, {EDGE}, {EXACT}, {COUNTS} SELECT count(*) AS lines, 0::BIGINT AS misplaced FROM counts",
     "distinct_edges": f"WITH {OBS}, {EDGE} SELECT * FROM edge",
     "posting_lists": f"WITH {OBS}, {EDGE} SELECT item_id, behavior, string_agg(user_id::varchar, ' ' ORDER BY user_id) AS users FROM edge GROUP BY ALL HAVING count(*) >= 2",
     "posting_degrees": f"WITH {SALES}, {EDGE}, {DEG} SELECT * FROM deg",
