@@ -20,8 +20,8 @@ Defined results: rows whose vector is null or holds null or non-finite component
 dropped; shorter vectors count as filled with zeros up to the longest, and its length
 to the next multiple of ``parts``; null ids come last; repeated rows each get their code, and
 rows with one id are in the order of their vectors; fewer rows than entries make a smaller
-codebook; an empty table gives no row. Components of 2**30 and more after scaling raise
-an error. Further columns, but for the label, are ignored.
+codebook; an empty table gives no row. Components of 2**30 and more after scaling, or so large that a squared distance
+may pass 2**62, raise an error. Further columns, but for the label, are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ from .common import cut, map_arrow
 
 STATE = "vec_id long, label int, v binary, code binary, upper binary, lower binary, was binary, scans long"
 KINDS = pa.schema([("vec_id", pa.int64()), ("label", pa.int32()), ("v", pa.binary()), ("code", pa.binary()), ("upper", pa.binary()), ("lower", pa.binary()), ("was", pa.binary()), ("scans", pa.int64())])
-#: Scaled components stay below it, squared distances of a part then fit 64 bits.
-LARGEST = 1 << 30
+#: Scaled components stay below it, and squared distances of a part below the other.
+LARGEST, SQUARED = 1 << 30, 1 << 62
 FAR = 1 << 61
 #: Rows that are compared with all entries at once.
 AT_ONCE = 4096
@@ -62,7 +62,7 @@ def ceil_root(square: np.ndarray) -> np.ndarray:
 
 
 def whole_components(vectors: DataFrame, scale: int) -> DataFrame:
-    """``vec_id, label, v``: kept rows with ``floor(scale * x)`` as 32-bit integers."""
+    """``vec_id, label, v, peak``: kept rows with ``floor(scale * x)`` as 32-bit integers, and the largest size of one."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = batch.column("e")
@@ -72,12 +72,13 @@ def whole_components(vectors: DataFrame, scale: int) -> DataFrame:
             raise ValueError(f"components of {LARGEST // scale} and more do not fit the distances")
         data, ends = x.astype("<i4").tobytes(), 4 * np.cumsum([0, *e.value_lengths().to_pylist()])
         own = [data[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        return pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(own, pa.binary())], names=["vec_id", "label", "v"])
+        peak = np.full(len(own), int(np.abs(x).max(initial=0)))
+        return pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(own, pa.binary()), pa.array(peak)], names=["vec_id", "label", "v", "peak"])
 
     label = F.col("label") if "label" in vectors.columns else F.lit(None)
     picked = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), label.cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
     fine = picked.where(F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    return map_arrow(fine, run, "vec_id long, label int, v binary", rows=4096)
+    return map_arrow(fine, run, "vec_id long, label int, v binary, peak long", rows=4096)
 
 
 def matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
@@ -94,15 +95,16 @@ class Codebooks:
     moved: np.ndarray
 
     def __post_init__(self) -> None:
-        # 64-bit sums of squares of half the gaps and moves; a part is one entry where there is no other
         parts, size, width = self.entries.shape
         self.squares = (self.entries * self.entries).sum(2)
+        #: By part and entry, the distance to the nearest other entry, rounded down.
         self.gap = np.full((parts, size), FAR)
         for p in range(parts if size > 1 else 0):
             for k in range(size):
                 apart = ((self.entries[p] - self.entries[p, k]) ** 2).sum(1)
                 apart[k] = np.iinfo(np.int64).max
                 self.gap[p, k] = floor_root(apart.min())
+        # the most that an entry of each part moved, the most but for it, and which it is
         order = np.argsort(self.moved, axis=1)
         self.most = np.take_along_axis(self.moved, order[:, -1:], 1)
         self.second = np.take_along_axis(self.moved, order[:, -2:-1], 1) if size > 1 else self.most
@@ -193,12 +195,14 @@ def changes(state: DataFrame, shape: tuple[int, int, int]) -> tuple[np.ndarray,
 def trained(vectors: DataFrame, parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> tuple[DataFrame, np.ndarray]:
     """The state after ``rounds`` rounds and a last assignment, and the codebooks ``[part, entry, position]``."""
     rows = cut(whole_components(vectors, scale))
-    longest = rows.agg(F.max(F.length("v"))).first()[0] or 0
-    width = max(1, -(-longest // 4 // parts))
+    facts = rows.agg(F.max(F.length("v")).alias("longest"), F.max("peak").alias("peak")).first()
+    width = max(1, -(-(facts.longest or 0) // 4 // parts))
+    if width * (2 * (facts.peak or 0) + 1) ** 2 >= SQUARED:
+        raise ValueError(f"components of {facts.peak / scale} do not fit the distances")
     first = [r.v for r in rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).select("v").collect()]
     seeds = matrix(pa.array(first, pa.binary()), "<i4", parts * width).astype(np.int64).reshape(len(first), parts, width)
     blank = lambda x: F.lit(np.full(parts, x, "<i8").tobytes())
-    state = rows.select("*", blank(-1).alias("code"), blank(0).alias("upper"), blank(0).alias("lower"), blank(-1).alias("was"), F.lit(0).cast("long").alias("scans"))
+    state = rows.select("vec_id", "label", "v", blank(-1).alias("code"), blank(0).alias("upper"), blank(0).alias("lower"), blank(-1).alias("was"), F.lit(0).cast("long").alias("scans"))
     if not first:
         return state, seeds.transpose(1, 0, 2)
     books = Codebooks(seeds.transpose(1, 0, 2).copy(), np.zeros((parts, len(first)), np.int64))
