@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,24 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new place in the folder that all executors see, deleted when the driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark), f"affinity-{uuid.uuid4().hex}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return place.toString()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage is cut, and a reader takes only the columns it needs.
+
+    A tenth of a checkpoint's bytes for numbers. The shuffles that made it are dropped.
+    """
+    spark, place = df.sparkSession, scratch(df.sparkSession)
+    with dropped_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def own_session(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
     """A session with the settings of ``spark`` and these: frames that are read in it are planned by them, others are not."""
     own = spark.newSession()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import BUY, EngineConfig
 from ..functions.columns import native_order
 from ..functions.shuffle import item_seed, shuffled
-from .lineage import cut, dropped_shuffles
+from .lineage import cut, dropped_shuffles, written
 from .postings import KEY, degrees, edges, pair_plan, usable
 
 #: How many times more contributions than packed edges make cells cheaper than the join.
@@ -109,18 +109,18 @@ def count_pairs(contributions: DataFrame) -> DataFrame:
     return contributions.groupBy("user1", "user2").agg(of("buy").alias("buy_count"), of("pv").alias("pv_count"))
 
 
-def exact_counts(edge: DataFrame, least: tuple[int, int] = (0, 0), written: bool = False) -> DataFrame:
+def exact_counts(edge: DataFrame, least: tuple[int, int] = (0, 0), kept: bool = False) -> DataFrame:
     """``count_pairs`` of all pairs of each group, by the form that costs less.
 
     Pairs with fewer buys and fewer views than ``least`` may be missing. Ids must be whole numbers.
 
-    The edges are written down first, unless they are ``written`` already, and told apart by one pass over the degrees: the join
+    The edges are written down first, unless they are ``kept`` already, and told apart by one pass over the degrees: the join
     shuffles a row per contribution, the square of a large group; cells shuffle every edge, packed, once per block.
     """
     wrong = [c for c in ("user_id", "item_id") if edge.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long")]
     if wrong:
         raise TypeError(f"ids must be whole numbers, not {', '.join(f'{c} {edge.schema[c].dataType.simpleString()}' for c in wrong)}")
-    edge = edge if written else cut(edge)
+    edge = edge if kept else written(edge)
     size = degrees(edge).agg(F.sum("n").alias("edges"), F.sum(F.expr("n * (n - 1) / 2")).alias("made")).first()
     n, made = size.edges or 0, size.made or 0
     blocks = blocks_of(n, made, edge.sparkSession.sparkContext.defaultParallelism)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import BUY, PV, EngineConfig, SamplerConfig
 from ..operators import metrics, pairs, postings, ranking, sampler
-from ..operators.lineage import cut
+from ..operators.lineage import cut, written
 from ..sources import readers, writers
 
 
@@ -45,7 +45,7 @@ class Run:
 def watched_edges(lines: DataFrame, cfg: EngineConfig, watch: metrics.Watch) -> tuple[DataFrame, DataFrame]:
     """The log's edges and the plan of its usable groups, both written down: the lines are read once."""
     parsed = watch.on(readers.parse(lines, cfg), *metrics.parse_tallies())
-    edge = cut(postings.edges(readers.observations(parsed)))
+    edge = written(postings.edges(readers.observations(parsed)))
     groups = postings.planned(postings.degrees(edge), cfg)
     below_cap = F.col("n") <= cfg.max_users_per_item if cfg.max_users_per_item > 0 else F.lit(True)
     tallies = [t for b in (BUY, PV) for t in metrics.plan_tallies(b, (F.col("n") >= 2) & below_cap)]
@@ -81,7 +81,7 @@ def run_counts(spark: SparkSession, source: str, target: str, cfg: EngineConfig,
     lines = readers.read_lines(metrics.watched_session(spark), source, min_partitions)
     edge, usable = watched_edges(lines, cfg, watch)
     kept = edge.join(usable.select(*postings.KEY), postings.KEY, "left_semi") if cfg.max_users_per_item > 0 else edge
-    out = ranking.passing_counts(pairs.exact_counts(kept, (cfg.min_buy, cfg.min_pv), written=kept is edge), cfg)
+    out = ranking.passing_counts(pairs.exact_counts(kept, (cfg.min_buy, cfg.min_pv), kept=kept is edge), cfg)
     out = watch.on(out, *[metrics.tally(f"{b}_generated", None, F.col(f"{b}_count")) for b in (BUY, PV)], metrics.tally("emitted_pairs"))
     out = out.persist() if persist else out
     writers.write_pairs(out, target, cfg.overwrite, ordered)
@@ -145,15 +145,15 @@ def run_sampler(spark: SparkSession, source: str, target: str, cfg: SamplerConfi
         raise SourceTooSmall(f"the source has {facts.bytes or 0} bytes without its category, below {cfg.min_bytes}")
     selection = sampler.select_users(events, cfg)
     kept = sampler.keep_users(events, selection.users)
-    written = Observation()
+    seen = Observation()
     with writers.published(spark, target, overwrite) as place:
-        writers.write_csv(writers.event_rows(kept).observe(written, F.count("*").alias("rows")), place, cfg.write_header)
+        writers.write_csv(writers.event_rows(kept).observe(seen, F.count("*").alias("rows")), place, cfg.write_header)
         size = writers.written_bytes(spark, place)
         if not cfg.min_bytes <= size <= cfg.max_bytes:
             raise SizeOutOfRange(f"{size} bytes would be written, not {cfg.min_bytes} to {cfg.max_bytes}; nothing was published")
     report = {
         "input": source, "output": target, "source_had_header": header, "output_has_header": cfg.write_header, "seed": cfg.seed,
-        "valid_source_rows": facts.rows, "source_users": facts.users, "selected_users": selection.composition["total_selected_users"], "rows_written": written.get["rows"],
+        "valid_source_rows": facts.rows, "source_users": facts.users, "selected_users": selection.composition["total_selected_users"], "rows_written": seen.get["rows"],
         "actual_output_bytes": size, "actual_output_gb": size / 1e9,
         "requested_min_gb": cfg.min_bytes / 1e9, "requested_target_gb": cfg.target_bytes / 1e9, "requested_max_gb": cfg.max_bytes / 1e9,
         "thresholds": selection.limits, "composition": selection.composition, "job1_deduplication_preserved": True,

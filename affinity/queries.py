@@ -7,7 +7,6 @@ lines for the parser are made from events by fixed rules.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +16,7 @@ from .config import EngineConfig, SamplerConfig
 from .functions.columns import behavior_code, behavior_name, stable_hash_hex
 from .functions.shuffle import GAMMA, MIX_A, MIX_B, SHORT_A, SHORT_B
 from .operators import metrics, pairs, postings, ranking, sampler
-from .operators.lineage import cut, shared_folder
+from .operators.lineage import cut, scratch
 from .plans import pipelines
 from .sources import readers, writers
 
@@ -165,11 +164,6 @@ def behavior_codes(s: SparkSession, d: str) -> DataFrame:
     return named.groupBy("behavior", "code").agg(F.count("*").alias("n")).withColumn("name", behavior_name(F.col("code")))
 
 
-def scratch(s: SparkSession) -> str:
-    """A new place in the folder that all executors see."""
-    return f"{shared_folder(s)}/affinity-{uuid.uuid4().hex}"
-
-
 def awkward(c: F.Column, line_ends: bool) -> F.Column:
     """A text that needs quotes in CSV, or looks as if it did."""
     e, more = F.col("event_id"), {0: '"q"', 1: "\\", 2: ",x", 3: "\n z" if line_ends else '"', 4: '\\"y', 5: ' "'}
