@@ -201,6 +201,19 @@ def test_exact_counts_choose_by_cost(spark, monkeypatch):
         pairs.exact_counts(short.selectExpr("cast(user_id as string) user_id", "item_id", "behavior"))
 
 
+def test_many_contributions_are_not_joined(spark, monkeypatch):
+    """360 copies of sf0.1 with users and items of their own (93 contributions an edge, 13 blocks) shuffle no contributions; the counts are the join's."""
+    n, made = 360 * 37425, 360 * 3497167.0
+    assert not pairs.joined(n, made, pairs.blocks_of(n, made, 8))
+    assert pairs.joined(n, 9.0 * n, pairs.blocks_of(n, 9.0 * n, 8))  # lists of at most 18 users
+    monkeypatch.setattr(pairs, "MANY", 0)
+    apart = spark.range(900).selectExpr("id as user_id", "id div 6 as item_id", "if(id % 12 < 6, 'buy', 'pv') as behavior")
+    edge = apart.union(spark.range(900).selectExpr("id", "1000 + id div 6", "'pv'"))
+    out = pairs.exact_counts(edge)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out) == rows(pairs.count_pairs(pairs.exact_pairs(edge)))
+
+
 def test_every_core_has_a_cell():
     for cores in (1, 4, 8, 300):
         b = pairs.blocks_of(1000, 1000 * 500.0, cores)
