@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import BUY, PV, EngineConfig
@@ -119,3 +123,30 @@ def top_counts(candidates: DataFrame, k: int) -> DataFrame:
     """Users emitted, candidates seen and dropped, users with fewer than k."""
     seen = candidates.groupBy("user_id").agg(F.count("*").alias("seen"))
     return seen.agg(tally("users_emitted"), tally("candidates_seen", None, F.col("seen")), tally("users_with_fewer_than_k", F.col("seen") < k), tally("candidates_dropped", None, F.greatest(F.col("seen") - k, F.lit(0))))
+
+
+def line_order(spark: SparkSession, place: str) -> DataFrame:
+    """``lines, misplaced`` of files of pair lines: how many there are, and how many stand before a smaller one of their file.
+
+    A task compares the lines it reads, a batch at a time; a row for each batch is left for comparing ends, whatever a file's size.
+    """
+    pair = F.substring_index("value", "\t", 1)
+    user = lambda i: F.coalesce(F.substring_index(pair, ",", i).try_cast("bigint"), F.lit(-(1 << 63)))
+    rows = spark.read.text(place).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), user(1).alias("a"), user(-1).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            file, start, a, b = (batch.column(c).to_numpy() for c in ("file", "start", "a", "b"))
+            ends = np.flatnonzero(np.append((file[1:] != file[:-1]) | (start[1:] != start[:-1]), True)[: len(file)]) + 1
+            begins = np.concatenate([[0], ends])[: len(ends)]
+            wrong = np.concatenate([[0], np.cumsum((a[:-1] > a[1:]) | (a[:-1] == a[1:]) & (b[:-1] > b[1:]))])[: len(a)]
+            last = ends - 1
+            yield pa.RecordBatch.from_pydict({"file": file[begins], "start": start[begins], "at": begins + seen, "lines": ends - begins, "misplaced": wrong[last] - wrong[begins], "first1": a[begins], "first2": b[begins], "last1": a[last], "last2": b[last]})
+            seen += len(a)
+
+    names = ("file", "start", "at", "lines", "misplaced", "first1", "first2", "last1", "last2")
+    parts = rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    after = F.lead(F.struct("first1", "first2")).over(Window.partitionBy("file").orderBy("start", "at"))
+    ends = parts.select("lines", "misplaced", (F.struct("last1", "last2") > after).alias("wrong"))
+    return ends.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), (F.coalesce(F.sum("misplaced"), F.lit(0)) + F.count_if("wrong")).alias("misplaced"))

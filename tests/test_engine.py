@@ -214,6 +214,37 @@ def test_many_contributions_are_not_joined(spark, monkeypatch):
     assert rows(out) == rows(pairs.count_pairs(pairs.exact_pairs(edge)))
 
 
+@pytest.mark.parametrize("least", [(0, 0), (2, 3)])
+def test_ordered_counts_are_in_order_unsorted(spark, monkeypatch, least):
+    """A frame for each range of first users, every partition in order without a sort, all pairs of the join."""
+    monkeypatch.setattr(pairs, "SHORT", 1)
+    ids = [-(2**63), -5, 0, 2**63 - 1, *range(30, 200)]
+    edge = spark.createDataFrame([(u, i, b) for k, u in enumerate(ids) for i in range(9) for b in ("buy", "pv") if (k * i + k) % 4], "user_id long, item_id long, behavior string")
+    frames = list(pairs.ordered_counts(edge, least, most=20_000))
+    assert len(frames) > 2 and all("Sort" not in f._jdf.queryExecution().executedPlan().toString() for f in frames)
+    found = [[tuple(r) for r in part] for f in frames for part in f.rdd.glom().collect()]
+    assert all(part == sorted(part) for part in found)
+    want = pairs.count_pairs(pairs.exact_pairs(edge)).where(f"{0 in least} or buy_count >= {least[0]} or pv_count >= {least[1]}")
+    assert sorted(r for part in found for r in part) == rows(want)
+    starts = [min(r[0] for r in f.collect()) for f in frames]
+    assert starts == sorted(set(starts))
+    assert [f.count() for f in pairs.ordered_counts(edge.where("false"), most=10)] == [0]
+
+
+def test_lines_out_of_order_are_told(spark, tmp_path):
+    """Within a batch, between batches and between splits of a file; files are not compared."""
+    right = [f"{u},{v}\t0,1" for u in range(9, 59) for v in range(u + 1, 60)]
+    (tmp_path / "a").write_text("\n".join(right) + "\n")
+    (tmp_path / "b").write_text("\n".join(right[:7] + ["9,11\t1,1"] + right[7:] + ["1,2\t0,1"]) + "\n")
+    own = spark.newSession()
+    for batch, split in ((10_000, "128m"), (3, "128m"), (7, "300b"), (1, "300b")):
+        own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        own.conf.set("spark.sql.files.maxPartitionBytes", split)
+        assert tuple(metrics.line_order(own, str(tmp_path)).first()) == (2 * len(right) + 2, 2)
+    (tmp_path / "c").mkdir()
+    assert tuple(metrics.line_order(own, str(tmp_path / "c")).first()) == (0, 0)
+
+
 def test_every_core_has_a_cell():
     for cores in (1, 4, 8, 300):
         b = pairs.blocks_of(1000, 1000 * 500.0, cores)
