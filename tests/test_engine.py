@@ -214,6 +214,20 @@ def test_many_contributions_are_not_joined(spark, monkeypatch):
     assert rows(out) == rows(pairs.count_pairs(pairs.exact_pairs(edge)))
 
 
+def apart(spark):
+    """Short lists of users of their own, as in copies of a log whose users and items are shifted."""
+    lists = spark.range(900).selectExpr("id as user_id", "id div 6 as item_id", "if(id % 12 < 6, 'buy', 'pv') as behavior")
+    return lists.union(spark.range(900).selectExpr("id", "1000 + id div 9", "'buy'"))
+
+
+def test_lines_of_many_short_lists_shuffle_no_contributions(spark, monkeypatch):
+    want = [f"{r.user1},{r.user2}\t{r.buy_count},{r.pv_count}" for r in pairs.count_pairs(pairs.exact_pairs(apart(spark))).collect()]
+    monkeypatch.setattr(pairs, "MANY", 0)
+    out = pipelines.pair_counts(apart(spark), EngineConfig()).select(writers.pair_line().alias("line"))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.line for r in out.collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("least", [(0, 0), (2, 3)])
 def test_ordered_counts_are_in_order_unsorted(spark, monkeypatch, least):
     """A frame for each range of first users, every partition in order without a sort, all pairs of the join."""
