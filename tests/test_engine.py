@@ -228,6 +228,14 @@ def test_lines_of_many_short_lists_shuffle_no_contributions(spark, monkeypatch):
     assert sorted(r.line for r in out.collect()) == sorted(want)
 
 
+def test_thresholds_of_many_short_lists_shuffle_no_contributions(spark, monkeypatch):
+    want = rows(pairs.count_pairs(pairs.exact_pairs(apart(spark))).where("buy_count >= 2 or pv_count >= 3"))
+    monkeypatch.setattr(pairs, "MANY", 0)
+    out = pipelines.pair_counts(apart(spark), EngineConfig(min_buy=2, min_pv=3))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out) == want and want
+
+
 @pytest.mark.parametrize("least", [(0, 0), (2, 3)])
 def test_ordered_counts_are_in_order_unsorted(spark, monkeypatch, least):
     """A frame for each range of first users, every partition in order without a sort, all pairs of the join."""
