@@ -236,6 +236,22 @@ def test_thresholds_of_many_short_lists_shuffle_no_contributions(spark, monkeypa
     assert rows(out) == want and want
 
 
+def test_lines_of_many_blocks_copy_no_block(spark, monkeypatch):
+    """Cells read their two blocks where they are written: no shuffle holds a block once per cell."""
+    monkeypatch.setattr(pairs, "SHORT", 1)
+    monkeypatch.setattr(pairs, "LARGE_CELL", 500)
+    monkeypatch.setattr(pairs, "TASKS", 9)  # fewer partitions than blocks
+    df = group(spark, 90).union(group(spark, 70, behavior="buy")).union(group(spark, 40, item=43))
+    blocks = []
+    plain = pairs.cell_counts
+    monkeypatch.setattr(pairs, "cell_counts", lambda edge, n, *more: blocks.append(n) or plain(edge, n, *more))
+    out = pipelines.pair_counts(df, EngineConfig()).select(writers.pair_line().alias("line"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert blocks[0] > 4 and "CartesianProduct" in plan and "Exchange" not in plan
+    want = pairs.count_pairs(pairs.exact_pairs(df)).select(writers.pair_line().alias("line"))
+    assert sorted(r.line for r in out.collect()) == sorted(r.line for r in want.collect())
+
+
 @pytest.mark.parametrize("least", [(0, 0), (2, 3)])
 def test_ordered_counts_are_in_order_unsorted(spark, monkeypatch, least):
     """A frame for each range of first users, every partition in order without a sort, all pairs of the join."""
