@@ -252,6 +252,19 @@ def test_lines_of_many_blocks_copy_no_block(spark, monkeypatch):
     assert sorted(r.line for r in out.collect()) == sorted(r.line for r in want.collect())
 
 
+def test_thresholds_of_many_blocks_copy_no_block(spark, monkeypatch):
+    """As many blocks as there may be cost no shuffle of their cells; neither thresholds nor two blocks split by items lose a pair."""
+    made = {(u, (u * k + i) % 12, b) for u in range(40) for k, b in ((3, "buy"), (5, "pv"), (7, "pv")) for i in range(3)}
+    edge = spark.createDataFrame(sorted(made), "user_id long, item_id long, behavior string")
+    want = rows(pairs.count_pairs(pairs.exact_pairs(edge)).where("buy_count >= 2 or pv_count >= 3"))
+    for blocks in (2, 9):
+        out = pairs.cell_counts(edge, blocks, (2, 3))
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        assert rows(out) == want and want
+    monkeypatch.setattr(pairs, "BLOCK_EDGES", 60)
+    assert rows(pairs.cell_counts(edge, 3, (2, 3), {0: 120, 2: 121})) == want
+
+
 @pytest.mark.parametrize("least", [(0, 0), (2, 3)])
 def test_ordered_counts_are_in_order_unsorted(spark, monkeypatch, least):
     """A frame for each range of first users, every partition in order without a sort, all pairs of the join."""
