@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BUY, PV, EngineConfig
@@ -125,28 +125,57 @@ def top_counts(candidates: DataFrame, k: int) -> DataFrame:
     return seen.agg(tally("users_emitted"), tally("candidates_seen", None, F.col("seen")), tally("users_with_fewer_than_k", F.col("seen") < k), tally("candidates_dropped", None, F.greatest(F.col("seen") - k, F.lit(0))))
 
 
+#: Bytes of lines that are parsed at once.
+PIECE = 1 << 18
+
+
 def line_order(spark: SparkSession, place: str) -> DataFrame:
     """``lines, misplaced`` of files of pair lines: how many there are, and how many stand before a smaller one of their file.
 
-    A task compares the lines it reads, a batch at a time; a row for each batch is left for comparing ends, whatever a file's size.
+    A file is read by one task, piece by piece; ``writers.write_lines`` bounds the files it writes.
     """
-    pair = F.substring_index("value", "\t", 1)
-    user = lambda i: F.coalesce(F.substring_index(pair, ",", i).try_cast("bigint"), F.lit(-(1 << 63)))
-    rows = spark.read.text(place).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), user(1).alias("a"), user(-1).alias("b"))
+    files = spark.read.format("binaryFile").load(place).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = 0
         for batch in batches:
-            file, start, a, b = (batch.column(c).to_numpy() for c in ("file", "start", "a", "b"))
-            ends = np.flatnonzero(np.append((file[1:] != file[:-1]) | (start[1:] != start[:-1]), True)[: len(file)]) + 1
-            begins = np.concatenate([[0], ends])[: len(ends)]
-            wrong = np.concatenate([[0], np.cumsum((a[:-1] > a[1:]) | (a[:-1] == a[1:]) & (b[:-1] > b[1:]))])[: len(a)]
-            last = ends - 1
-            yield pa.RecordBatch.from_pydict({"file": file[begins], "start": start[begins], "at": begins + seen, "lines": ends - begins, "misplaced": wrong[last] - wrong[begins], "first1": a[begins], "first2": b[begins], "last1": a[last], "last2": b[last]})
-            seen += len(a)
-
-    names = ("file", "start", "at", "lines", "misplaced", "first1", "first2", "last1", "last2")
-    parts = rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
-    after = F.lead(F.struct("first1", "first2")).over(Window.partitionBy("file").orderBy("start", "at"))
-    ends = parts.select("lines", "misplaced", (F.struct("last1", "last2") > after).alias("wrong"))
-    return ends.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), (F.coalesce(F.sum("misplaced"), F.lit(0)) + F.count_if("wrong")).alias("misplaced"))
+            for content in batch.column("content"):
+                lines, misplaced = order_of(content.as_py())
+                yield pa.RecordBatch.from_pydict({"lines": [lines], "misplaced": [misplaced]})
+
+    found = files.mapInArrow(run, "lines long, misplaced long")
+    return found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("lines", "misplaced")])
+
+
+def order_of(text: bytes) -> tuple[int, int]:
+    """Lines of a text, which ends with a line's end, and how many stand before a smaller one."""
+    lines = misplaced = start = 0
+    before = None
+    while start < len(text):
+        size = PIECE
+        while (end := text.rfind(b"\n", start, start + size)) < 0:
+            if start + size >= len(text):
+                raise ValueError("the last line has no end")
+            size *= 2
+        piece = np.frombuffer(text, np.uint8, end + 1 - start, start)
+        # a comma, a tab, a comma and the end of each line; all other bytes are digits and signs
+        marks = np.flatnonzero(piece < 45)
+        if len(marks) % 4 or (piece[marks].view("<u4") != int.from_bytes(b",\t,\n", "little")).any():
+            raise ValueError("lines of pairs are u1,u2<TAB>buy,pv")
+        comma, tab, line_end = marks[::4], marks[1::4], marks[3::4]
+        a, b = numbers(piece, np.concatenate([[0], line_end[:-1] + 1]), comma), numbers(piece, comma + 1, tab)
+        misplaced += np.count_nonzero((a[:-1] > a[1:]) | (a[:-1] == a[1:]) & (b[:-1] > b[1:]))
+        misplaced += before is not None and before > (a[0], b[0])
+        lines, before, start = lines + len(a), (a[-1], b[-1]), end + 1
+    return lines, int(misplaced)
+
+
+def numbers(text: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The whole numbers that stand from ``begins`` to ``ends``, digit by digit from the last one."""
+    signed = text[begins] == 45
+    size = ends - begins - signed
+    least, out, at = size.min(), np.zeros(len(ends), np.int64), ends.copy()
+    for k in range(size.max()):
+        at -= 1
+        digit = text[at].astype(np.int64) - 48 if k < least else np.where(k < size, text[at], 48).astype(np.int64) - 48
+        out += digit * 10**k
+    return np.where(signed, -out, out) if signed.any() else out

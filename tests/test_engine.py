@@ -282,6 +282,40 @@ def test_ordered_counts_are_in_order_unsorted(spark, monkeypatch, least):
     assert [f.count() for f in pairs.ordered_counts(edge.where("false"), most=10)] == [0]
 
 
+@pytest.mark.parametrize("most", [2_000, None])
+@pytest.mark.parametrize("least", [(0, 0), (2, 3)])
+def test_ordered_lines_are_written_in_blocks(spark, monkeypatch, tmp_path, least, most):
+    """Lines leave the tasks that count them as texts of many, a frame has few cells, and the files are those of the pairs one by one."""
+    ids = [-(2**63), -5, 0, 2**63 - 1, *range(8, 200)]
+    edge = spark.createDataFrame([(u, i, b) for k, u in enumerate(ids) for i in range(9) for b in ("buy", "pv") if (k * i + k) % 4], "user_id long, item_id long, behavior string")
+    want = [f"{a},{b}\t{x},{y}" for a, b, x, y in rows(pairs.count_pairs(pairs.exact_pairs(edge)).where(f"{0 in least} or buy_count >= {least[0]} or pv_count >= {least[1]}"))]
+    for short in (1, pairs.SHORT):  # cells, then a sorted join
+        monkeypatch.setattr(pairs, "SHORT", short)
+        monkeypatch.setattr(pairs, "MANY", 1 << 26 if short > 1 else 0)
+        frames = list(pairs.ordered_counts(edge, least, most=most, lines=True))
+        assert (len(frames) > 4) == (short == 1 and most is not None)
+        texts = [r.value for f in frames for r in f.collect()]
+        assert len(texts) < len(want) / 20
+        assert sorted(x for t in texts for x in t.split("\n")) == sorted(want)
+        assert all(f.rdd.getNumPartitions() <= 40 for f in frames)
+        for i, f in enumerate(frames):
+            writers.write_lines(f, str(tmp_path / f"{short}.{i}"), most=2)
+        found = [metrics.line_order(spark, str(tmp_path / f"{short}.{i}")).first() for i in range(len(frames))]
+        assert (sum(r.lines for r in found), sum(r.misplaced for r in found)) == (len(want), 0)
+
+
+@pytest.mark.parametrize("piece", [1, 9, 30, 1 << 18])
+def test_order_of_a_text_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(metrics, "PIECE", piece)
+    pair = [(-(2**63), 5), (-7, 2**63 - 1), (-7, -8), (3, 4), (3, 10), (3, 9), (12, 13)]
+    text = "".join(f"{a},{b}\t{i},{10**i}\n" for i, (a, b) in enumerate(pair)).encode()
+    assert metrics.order_of(text) == (7, 2)
+    assert metrics.order_of(b"") == (0, 0)
+    for bad in (text[:-1], text.replace(b"\t", b" "), text + b"\n"):
+        with pytest.raises(ValueError):
+            metrics.order_of(bad)
+
+
 def test_lines_out_of_order_are_told(spark, tmp_path):
     """Within a batch, between batches and between splits of a file; files are not compared."""
     right = [f"{u},{v}\t0,1" for u in range(9, 59) for v in range(u + 1, 60)]
